@@ -55,6 +55,10 @@ class Workspace:
         out._quill_where = where
         return out
 
+    def all_of(self, tables: list[DataFrame]) -> DataFrame:
+        """Written tables of one schema, read as one."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._quill_where for t in tables])
+
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             where = getattr(t, "_quill_where", None)
