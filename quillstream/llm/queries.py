@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillstream.llm import q_cutoffs
+from quillstream.llm import q_cutoffs, q_splitting
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (q_cutoffs,):
+for _m in (q_cutoffs, q_splitting):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
