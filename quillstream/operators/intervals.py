@@ -68,8 +68,9 @@ def _new_group(batch: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return out
 
 
-def _table(batches: Sequence[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(batches)
+def _table(batch: pa.RecordBatch) -> pa.Table:
+    """As a table whose columns are all nullable, so that batches of any origin concatenate."""
+    return pa.Table.from_arrays(batch.columns, names=batch.schema.names)
 
 
 def _bitmaps(keys: Sequence[str], sort: bool):
@@ -86,7 +87,7 @@ def _bitmaps(keys: Sequence[str], sort: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = _table([batch])
+            t = _table(batch)
             if sort:
                 t = t.take(pc.sort_indices(t, sort_keys=[(k, "ascending") for k in [*by, "b"]]))
             elif carry is not None:
@@ -141,7 +142,7 @@ def _stretches(keys: Sequence[str]):
         for batch in _bitmaps(keys, False)(batches):
             if not batch.num_rows:
                 continue
-            t = _table([batch]) if held is None else pa.concat_tables([held, _table([batch])]).combine_chunks()
+            t = _table(batch) if held is None else pa.concat_tables([held, _table(batch)]).combine_chunks()
             last = int(np.flatnonzero(_new_group(t, by))[-1])
             yield from emit(t.slice(0, last).combine_chunks())
             held = t.slice(last).combine_chunks()
