@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillstream.llm import q_cutoffs, q_languages, q_leaks, q_splitting, q_unify
+from quillstream.llm import q_cutoffs, q_languages, q_leaks, q_packing, q_splitting, q_unify
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (q_cutoffs, q_languages, q_leaks, q_splitting, q_unify):
+for _m in (q_cutoffs, q_languages, q_leaks, q_packing, q_splitting, q_unify):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
