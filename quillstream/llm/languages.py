@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm.leaks import fold
-from quillstream.llm.unify import CHUNK, code_points
+from quillstream.llm.unify import code_points, tables
 
 MAX_N = 5
+#: Code points processed at once (a longer text is still processed whole).
+CHUNK = 1 << 19
 #: The fit takes at most so many samples and landmarks of a language.
 MAX_SAMPLES, MAX_LANDMARKS = 500, 64
 RIDGE = 1e-3
@@ -188,10 +190,10 @@ def _unquoted(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     inside = begin[last] & (unit[last] == unit) & end[following] & (unit[following] == unit)
     if not inside.any():
         return cps
-    blank = np.where(inside, np.uint32(32), cps)
-    _, off = words = fold(blank, bounds)
-    left = np.add.reduceat(np.append(words[0] == 32, False), off[:-1]) - 1
-    few = (left < LEFT_WORDS) | (np.diff(off) == 0)
+    letter = (tables().script[cps] > 0) & ~inside
+    word = letter.copy()
+    word[1:] &= ~letter[:-1]
+    few = np.bincount(unit[word], minlength=len(bounds) - 1) < LEFT_WORDS
     return np.where(inside & ~few[unit], np.uint32(32), cps)
 
 
