@@ -1,0 +1,59 @@
+"""Data source ``quill_xlsx``: the first sheet of workbooks, columns by known headers (SRC-06)."""
+
+from __future__ import annotations
+
+import fnmatch
+import glob as globbing
+import os
+import re
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+_COLUMNS = ("book_id", "chapter_num", "verse_str", "script_num", "person", "actor", "script_text")
+
+
+class XlsxDataSource(DataSource):
+    """Options: path (a file, folder or pattern), glob (default ``*.xlsx``)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quill_xlsx"
+
+    def schema(self) -> str:
+        return "path string, " + ", ".join(f"{c} string" for c in _COLUMNS)
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root = re.sub(r"^file:(//)?", "", options["path"])
+        self.glob = options.get("glob", "*.xlsx")
+
+    def partitions(self) -> list[InputPartition]:
+        patterns = [self.glob]
+        if m := re.fullmatch(r"(.*)\{(.*)\}(.*)", self.glob):
+            patterns = [m[1] + x + m[3] for x in m[2].split(",")]
+        found = [os.path.join(self.root, n) for n in sorted(os.listdir(self.root))] if os.path.isdir(self.root) else sorted(globbing.glob(self.root))
+        return [_File(p) for p in found if any(fnmatch.fnmatch(os.path.basename(p), x) for x in patterns) or p == self.root]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        from quillstream.sources.readers import COLUMN_NAMES, xlsx_cells
+
+        with open(partition.path, "rb") as f:
+            rows = xlsx_cells(f.read())
+        head = [c.strip().lower() for c in next(rows, [])]
+        at = [next((head.index(o) for o in COLUMN_NAMES[c] if o in head), None) for c in _COLUMNS]
+        for name in ("book_id", "chapter_num", "script_text"):
+            if at[_COLUMNS.index(name)] is None:
+                raise ValueError(f"{partition.path}: no column for {name} among {head}")
+        for r in rows:
+            if any(r):
+                yield (partition.path, *[r[i] if i is not None and i < len(r) else None for i in at])
