@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The probabilities of the score report.
@@ -29,27 +30,21 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, at: Sequence[float] =
     From counts of distinct values: a group is never gathered in one task
     before it is reduced to its distinct values.
     """
-    from pyspark.sql import Window as W
-
-    n = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("k"))
+    n = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     w = W.partitionBy(*keys)
-    n = n.withColumn("upto", F.sum("k").over(w.orderBy(x).rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("k").over(w))
-    p = F.explode(F.array(*[F.lit(float(v)) for v in at]))
-    return n.withColumn("p", p).filter(F.col("upto") >= F.ceil(F.col("p") * F.col("total"))).groupBy(*keys, "p").agg(F.min(x).alias("value"))
+    n = n.withColumn("__upto", F.sum("__n").over(w.orderBy("__x").rowsBetween(W.unboundedPreceding, 0))).withColumn("__total", F.sum("__n").over(w))
+    n = n.withColumn("p", F.explode(F.array(*[F.lit(float(v)) for v in at])))
+    return n.filter(F.col("__upto") >= F.ceil(F.col("p") * F.col("__total"))).groupBy(*keys, "p").agg(F.min("__x").alias("value"))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     """Rows of each bucket and their share of the group in percent (AGG-05)."""
-    from pyspark.sql import Window as W
-
     h = df.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     return h.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(*keys)))
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column) -> DataFrame:
     """``island``: number of the run a row belongs to; a run begins where ``starts`` holds (AGG-12, AGG-13, AGG-30, WIN-03, WIN-06)."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("__start", starts).withColumn("island", F.sum(F.col("__start").cast("long")).over(w)).drop("__start")
 

@@ -13,7 +13,7 @@ from quillstream.operators import graph as G
 from quillstream.operators import mutations as M
 from quillstream.operators.versions import current_rows
 from quillstream.plans.current_sql import sql
-from quillstream.runtime import table
+from quillstream.runtime import small_side, table
 
 TOOLS = ("espeak", "mms_asr", "mms_lid", "mms_tts", "whisper")
 
@@ -51,7 +51,7 @@ def common_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roman_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comparable text of lines: native for Latin datasets, else romanised (STR-32, DIF-02)."""
     i = table(spark, sf_dir, "ident").select("dataset_id", "alphabet")
-    t = lines(spark, sf_dir, "dataset_id", "script_text", "uroman").join(F.broadcast(i), "dataset_id", "left")  # ident never grows
+    t = lines(spark, sf_dir, "dataset_id", "script_text", "uroman").join(small_side(i), "dataset_id", "left")
     text = F.when(F.col("alphabet") == "Latn", F.col("script_text")).otherwise(F.coalesce(F.nullif("uroman", F.lit("")), romanised(F.col("script_text"))))
     return t.select("script_id", text.alias("text"))
 

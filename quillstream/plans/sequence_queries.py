@@ -71,16 +71,16 @@ def feature_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).select("word_id", F.posexplode("mfcc").alias("frame", "row")).select("word_id", "frame", F.posexplode("row").alias("coeff", "v"))
     f = f.withColumn("v", F.col("v").cast("double")).filter("v is not null")
     g = f.groupBy("coeff").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev"))
-    z = f.join(F.broadcast(g), "coeff")  # as many rows as a frame has coefficients
+    z = f.join(small_side(g), "coeff")
     return z.select("word_id", _long("frame"), _long("coeff"), _six((F.col("v") - F.col("mean")) / F.nullif("dev", F.lit(0.0)), "z"))
 
 
 def padded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrices padded with zero rows to the longest: the sum must stay, the size be one (AGG-09, MTH-01, MTH-05)."""
     f = features(spark, sf_dir)
-    longest = f.agg(F.max("n_rows").alias("longest"))
+    longest = f.agg(F.coalesce(F.max("n_rows"), F.lit(0))).first()[0]
     zero = F.array_repeat(F.lit(0.0).cast("float"), F.col("n_cols"))
-    p = f.join(F.broadcast(longest)).withColumn("padded", F.concat("mfcc", F.array_repeat(zero, F.greatest(F.col("longest") - F.col("n_rows"), F.lit(0)))))
+    p = f.withColumn("padded", F.concat("mfcc", F.array_repeat(zero, F.greatest(F.lit(longest) - F.col("n_rows"), F.lit(0)))))
     flat = F.aggregate(F.flatten("padded"), F.lit(0.0), lambda a, x: a + x)
     return p.select("word_id", F.size("padded").cast("long").alias("n_rows"), F.round(flat, 3).alias("total"))
 

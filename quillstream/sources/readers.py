@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.functions import text as X
+from quillstream.runtime import small_side
 
 # Other spellings of columns and codes in source files.
 COLUMN_NAMES = {
@@ -81,7 +82,7 @@ def read_json_lines(spark: SparkSession, path: str | list[str], books: DataFrame
     """``{"data": [...]}`` documents in the order of books, with a running number by book (SRC-12)."""
     item = "book_id string, chapter int, verse_start int, verse_end int, verse_text string"
     d = spark.read.schema(f"data array<struct<{item.replace(' ', ':').replace(',:', ', ')}>>").option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
-    d = d.join(F.broadcast(books.filter(F.col("testament").isin(*testaments)).select("book_id", "seq")), "book_id")  # a list of books, one row each
+    d = d.join(small_side(books.filter(F.col("testament").isin(*testaments)).select("book_id", "seq")), "book_id")
     same = F.col("verse_end").isNull() | (F.col("verse_end") == F.col("verse_start"))
     verse = F.when(same, F.col("verse_start").cast("string")).otherwise(F.concat_ws("-", "verse_start", "verse_end"))
     n = F.row_number().over(W.partitionBy("book_id").orderBy("chapter", "verse_start"))
