@@ -295,6 +295,10 @@ QUERIES = {
 
 _MS = "CAST(floor(({0}) * 1000 + 0.5) AS BIGINT)"
 _OK = "{0} IS NOT NULL AND NOT isnan({0})"
+_BATCHES = f"""r AS (SELECT dataset_id, script_id, ms, row_number() OVER (PARTITION BY dataset_id ORDER BY ms, script_id) AS i FROM (SELECT dataset_id, script_id, {_MS.format('script_end_ts')} - {_MS.format('script_begin_ts')} AS ms FROM s WHERE {_OK.format('script_end_ts')} AND {_OK.format('script_begin_ts')}) WHERE ms > 0),
+b AS (SELECT dataset_id, script_id, ms, i, 1::BIGINT AS batch, 1::BIGINT AS n FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.dataset_id, r.script_id, r.ms, r.i, CASE WHEN b.n >= 8 OR r.ms * (b.n + 1) >= 60000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 8 OR r.ms * (b.n + 1) >= 60000 THEN 1 ELSE b.n + 1 END FROM b JOIN r ON r.dataset_id = b.dataset_id AND r.i = b.i + 1)"""
 _QL = "(" + ", ".join(f"({float(p)}::DOUBLE)" for p in S.QUANTILES) + ")"
 _GAPS = f"""u AS (SELECT char_id, word_id, script_id, s.dataset_id, audio_file, start_ts, end_ts FROM c JOIN w USING (word_id) JOIN s USING (script_id) WHERE ttype = 'W' AND audio_file <> ''),
 t AS (SELECT dataset_id, audio_file, max(script_end_ts) AS total FROM s WHERE {_OK.format('script_end_ts')} GROUP BY ALL),
@@ -335,6 +339,8 @@ ORACLE = {
     ),
     "unique_verses": sql("SELECT script_id, name, CASE WHEN n = 1 THEN name WHEN n <= 27 THEN name || chr((95 + n)::INT) END AS unique_name FROM (SELECT script_id, name, row_number() OVER (PARTITION BY dataset_id, book_id, chapter_num, name ORDER BY script_id) AS n FROM (SELECT *, floor((verse_num + 2) / 3)::BIGINT::VARCHAR AS name FROM s))"),
     "duplicate_lines": "SELECT dataset_id, book_id, chapter_num, verse_str, count(*) AS n_rows FROM scripts GROUP BY ALL HAVING count(*) > 1",
+    "greedy_batches": sql("SELECT dataset_id, script_id, ms, batch FROM b", _BATCHES).replace("WITH", "WITH RECURSIVE", 1),
+    "batch_sizes": sql("SELECT dataset_id, batch, count(*) AS n, max(ms) * count(*) AS padded_ms, sum(ms)::BIGINT AS total_ms FROM b GROUP BY dataset_id, batch", _BATCHES).replace("WITH", "WITH RECURSIVE", 1),
     "canonical_order": sql("SELECT script_id, dataset_id, coalesce(testament, 'AP') AS testament, row_number() OVER (PARTITION BY dataset_id ORDER BY seq NULLS FIRST, chapter_num NULLS FIRST, verse_num NULLS FIRST, script_id) AS place FROM s LEFT JOIN books USING (book_id)"),
     "chapter_sequence": "SELECT book_id, testament, seq, coalesce(sum(chapters) OVER (PARTITION BY testament ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chapters_before FROM books",
     "invalid_vectors": "SELECT vec_id, len(embedding) AS width, len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 OR len(embedding) = 0 AS bad, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS square FROM embeddings",

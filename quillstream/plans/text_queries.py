@@ -126,6 +126,9 @@ ORACLE = {
         r"r AS (SELECT script_id, '^(\S+)(?: (\d+)(?::([^-\s]+)(?:-(?:(\d+):)?(\S+))?)?)?$' AS p, CASE WHEN coalesce(chapter_num, 0) = 0 THEN book_id WHEN coalesce(verse_str, '') = '' THEN book_id || ' ' || chapter_num ELSE book_id || ' ' || chapter_num || ':' || verse_str END || CASE WHEN coalesce(verse_end, '') = '' THEN '' WHEN coalesce(chapter_end, 0) <> 0 AND chapter_end <> chapter_num THEN '-' || chapter_end || ':' || verse_end WHEN verse_end <> verse_str THEN '-' || verse_end ELSE '' END AS ref FROM s)",
     ),
     "number_forms": sql("SELECT script_id, coalesce(try_cast(regexp_extract(verse_str, '^[0-9]+') AS BIGINT), 0) AS verse, repeat('0', greatest(5 - length(regexp_extract(script_num, '^[0-9]*')), 0)) || script_num AS filled, ltrim(script_num, '0') AS bare FROM s"),
+    "chapter_text": sql(
+        r"SELECT dataset_id, book_id, chapter_num, count(*) AS n_lines, list_reduce(list_prepend('', list(coalesce(script_text, '') ORDER BY script_id)), lambda a, x: CASE WHEN x = '' THEN a WHEN a = '' THEN x WHEN regexp_matches(a, '[\s(\[‘“‹«]$') OR regexp_matches(x, '^[\s?.,:;)\]’”„›»]') THEN a || x ELSE a || ' ' || x END) AS text FROM s GROUP BY dataset_id, book_id, chapter_num"
+    ),
     "clock_labels": sql("SELECT script_id, floor(greatest(script_begin_ts - 0.5, 0) / 60)::BIGINT || ':' || floor(greatest(script_begin_ts - 0.5, 0) % 60)::BIGINT AS clock, floor(script_begin_ts * 50)::BIGINT AS frame FROM s WHERE script_begin_ts IS NOT NULL AND NOT isnan(script_begin_ts)"),
     "versified": sql(
         "SELECT dataset_id, book_id, chapter_num, row_number() OVER (PARTITION BY dataset_id, book_id, chapter_num ORDER BY script_id) - 1 AS pos, verse_num::VARCHAR AS verse, trim(regexp_replace(script_text, '[{}]', '', 'g'), ' ') AS text FROM s WHERE verse_num > 0 AND script_text IS NOT NULL"
