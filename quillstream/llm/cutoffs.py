@@ -24,6 +24,9 @@ from quillstream.runtime import Workspace
 
 #: Scores of one task that are sorted together; also the longest run.
 RUN_ROWS = 1 << 17
+#: A source's target rank counts as isolated once so few scores are left that
+#: one small group holds them; they are ranked exactly.
+ISOLATED = 2_048
 #: The runs are written anew, without discarded scores, when the candidates
 #: have shrunk by this factor since they were written last.
 SHRINK = 4
@@ -144,6 +147,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.ListArray.from_arrays(off, pa.array(np.concatenate(vs))), pa.ListArray.from_arrays(off, pa.array(np.concatenate(cs)))], names=["sid", "vals", "cum"])
 
 
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores between lo and hi of their source, with their counts."""
+    for b in _cut(batches):
+        (o, values), (_, cums) = _lists(b.column("vals")), _lists(b.column("cum"))
+        n = np.diff(cums, prepend=0)
+        n[o[:-1]] = cums[o[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("sid").to_numpy(), np.diff(o))), pa.array(values), pa.array(n)], names=["sid", "x", "n"])
+
+
+_RANKED = T.StructType([T.StructField("sid", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("n", T.LongType())])
+
+
+def _ranked(runs: DataFrame, state: DataFrame) -> DataFrame:
+    """cutoff and n_kept of sources with at most ISOLATED candidates, or as few as they are."""
+    rest = runs.join(state.select("sid", "lo", "hi"), "sid").select("sid", "vals", "cum", "lo", "hi").mapInArrow(_rest, _RANKED)
+    rest = rest.groupBy("sid", "x").agg(F.sum("n").alias("n")).join(state.select("sid", "k", "above"), "sid")
+    upto = F.sum("n").over(W.partitionBy("sid").orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0))
+    hit = rest.withColumn("upto", upto).filter(F.col("upto") >= F.col("k"))
+    return hit.groupBy("sid").agg(F.max("x").alias("cutoff"), F.min(F.col("above") + F.col("upto")).alias("n_kept"))
+
+
 def _next_pivot(rows: DataFrame) -> DataFrame:
     """Adds ``next``: the lower weighted median of x (weights w) over a source's rows, one a task."""
     own = W.partitionBy("sid")
@@ -217,17 +241,18 @@ def fraction_cutoffs(scores: DataFrame, shares: DataFrame, keys: Sequence[str],
     while True:
         now = space.put(_round(runs, state, None if rounds else sources.select("sid", "permille")))
         rounds.append(now)
-        left, still_open = now.agg(F.coalesce(F.sum("left"), F.lit(0)), F.count(F.when(~F.col("hit"), 1))).first()
-        if not still_open:
-            break
+        left, most = now.agg(F.coalesce(F.sum("left"), F.lit(0)), F.coalesce(F.max("left"), F.lit(0))).first()
         state = now.filter(~F.col("hit")).select("sid", "lo", "hi", "pivot", "k", "above")
+        if most <= ISOLATED:
+            break
         if stored is None:
             stored = left
         elif left * SHRINK <= stored:
             fewer = space.put(runs.join(state, "sid").select("sid", "vals", "cum", "lo", "hi").mapInArrow(_cut, _RUNS))
             space.drop(runs)
             runs, stored = fewer, left
-    space.drop(runs)
     hits = space.all_of(rounds).filter("hit").select("sid", F.col("pivot").alias("cutoff"), F.col("above").alias("n_kept"))
+    hits = space.put(hits.unionByName(_ranked(runs, state)))
+    space.drop(runs)
     counted = rounds[0].select("sid", F.col("left").alias("n_counted"))
     return hits.join(counted, "sid").join(sources, "sid").select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "n_counted", "cutoff", "n_kept")

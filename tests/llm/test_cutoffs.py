@@ -28,9 +28,10 @@ def run(spark, rows, shares):
     return {(r.t, r.d): (r.n_counted, r.cutoff, r.n_kept) for r in out}
 
 
-@pytest.mark.parametrize("run_rows", [7, 1 << 17])
-def test_against_brute_force(spark, monkeypatch, run_rows):
+@pytest.mark.parametrize("run_rows,isolated", [(7, 0), (7, 50), (1 << 17, 2048)])
+def test_against_brute_force(spark, monkeypatch, run_rows, isolated):
     monkeypatch.setattr(C, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(C, "ISOLATED", isolated)
     rnd = random.Random(4)
     rows, shares = [], {}
     for d in range(12):
