@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.runtime import Workspace
+
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and those of ``existing`` whose key isn't among them (DML-01..03)."""
@@ -35,25 +37,31 @@ def cascade(children: DataFrame, parents: DataFrame, pointer: str, key: str) ->
     return children.join(parents.select(F.col(key).alias(pointer)).distinct(), pointer, "left_semi")
 
 
-def next_ids(rows: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """New rows with ids after the largest existing one, in a fixed order (DML-02).
+def number_rows(rows: DataFrame, key: str, order: Sequence[str], after: int = 0) -> DataFrame:
+    """Rows with ``key`` = after + 1, after + 2 ... in a fixed order.
 
-    Ids come from a range sort and the rows of the partitions before, not from
-    one global window.
+    A range sort and the number of rows in the partitions before, not one
+    global window. The sorted rows are written, as a second run of the same
+    sort may draw other borders; their partitions' counts (one number a
+    partition) come to the driver.
     """
-    from pyspark.sql import Window as W
-
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    placed = Workspace(rows.sparkSession, "numbers").put(placed)
     counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, offsets = top, {}
+    offsets = {}
     for p in sorted(counts):
-        offsets[p], start = start, start + counts[p]
+        offsets[p], after = after, after + counts[p]
     if not offsets:
         return rows.withColumn(key, F.lit(None).cast("long"))
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("__p"))
-    n = F.row_number().over(W.partitionBy("__p").orderBy("__i"))
-    return placed.withColumn(key, (offset + n).cast("long")).drop("__p", "__i")
+    # Ids of a partition are consecutive from its first on.
+    first = (F.col("__p").cast("long") * F.lit(1 << 33)).cast("long")
+    return placed.withColumn(key, (offset + F.col("__i") - first + 1).cast("long")).drop("__p", "__i")
+
+
+def next_ids(rows: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """New rows with ids after the largest existing one (DML-02)."""
+    return number_rows(rows, key, order, existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0])
 
 
 def overwrite_filled(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

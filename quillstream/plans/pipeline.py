@@ -12,7 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
@@ -20,6 +19,7 @@ from quillstream.functions.unicode import normal_form, strip_marks
 from quillstream.model import SCHEMAS, empty
 from quillstream.operators import diff as D
 from quillstream.operators.joins import paired
+from quillstream.operators.mutations import number_rows
 from quillstream.plans.request import Request, RequestError, cleanup_options, unicode_form
 from quillstream.sinks import writers
 from quillstream.sources import readers
@@ -95,8 +95,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def to_scripts(rows: DataFrame, dataset_id: int = 1) -> DataFrame:
     """Lines of the model with ids in the order of the source."""
-    n = F.row_number().over(W.orderBy("path", "pos", "chapter_num", "verse_num", "verse_str"))  # one dataset's lines, some ten thousand
-    have = {"script_id": n.cast("long"), "dataset_id": F.lit(dataset_id).cast("long"), "chapter_end": F.col("chapter_num"), "verse_end": X.verse_range(F.col("verse_str"))["end"], "script_num": X.zero_fill(F.col("script_num"))}
+    rows = number_rows(rows, "script_id", ["path", "pos", "chapter_num", "verse_num", "verse_str"])
+    have = {"dataset_id": F.lit(dataset_id).cast("long"), "chapter_end": F.col("chapter_num"), "verse_end": X.verse_range(F.col("verse_str"))["end"], "script_num": X.zero_fill(F.col("script_num"))}
     columns = []
     for part in SCHEMAS["scripts"].split(", "):
         name, kind = part.split(" ")
@@ -107,9 +107,9 @@ def to_scripts(rows: DataFrame, dataset_id: int = 1) -> DataFrame:
 def to_words(scripts: DataFrame) -> DataFrame:
     """Tokens of the model (STR-09, WIN-15)."""
     t = scripts.select("script_id", "verse_num", F.posexplode(X.token_list(F.col("script_text"))).alias("pos", "word"))
-    n = F.row_number().over(W.orderBy("script_id", "pos"))
+    t = number_rows(t, "word_id", ["script_id", "pos"])
     zero = F.lit(0.0)
-    return t.select(n.cast("long").alias("word_id"), "script_id", (F.col("pos") + 1).alias("word_seq"), "verse_num", X.token_type(F.col("word")).alias("ttype"), "word", F.lit("").alias("uroman"), zero.alias("word_begin_ts"), zero.alias("word_end_ts"), zero.alias("fa_score"), F.lit(None).cast("array<double>").alias("word_enc"))
+    return t.select("word_id", "script_id", (F.col("pos") + 1).alias("word_seq"), "verse_num", X.token_type(F.col("word")).alias("ttype"), "word", F.lit("").alias("uroman"), zero.alias("word_begin_ts"), zero.alias("word_end_ts"), zero.alias("fa_score"), F.lit(None).cast("array<double>").alias("word_enc"))
 
 
 def comparable(text, request: Request):
