@@ -28,11 +28,13 @@ from quillstream.llm.unify import code_points, tables
 MAX_N = 5
 #: Code points processed at once (a longer text is still processed whole).
 CHUNK = 1 << 19
+#: Letters of sentences scored at once (a longer sentence is still scored whole).
+BLOCK_CHARS = 1 << 17
 #: The fit takes at most so many samples and landmarks of a language.
 MAX_SAMPLES, MAX_LANDMARKS = 500, 64
 RIDGE = 1e-3
 #: A change of language must gain so much (in words of full score).
-SWITCH = 1.5
+SWITCH = 0.9
 #: A quotation within a sentence is not scored if so many words are left.
 LEFT_WORDS = 2
 #: Ends of sentences.
@@ -95,9 +97,9 @@ class Model:
         """Scores by language of texts folded to words (rows without letters: 0)."""
         n = len(off) - 1
         out = np.zeros((n, len(self.langs)), np.float32)
-        step = 1 << (62 - MAX_N * self.bits - 3)
-        for a in range(0, n, step):
-            b = min(n, a + step)
+        step, b = 1 << (62 - MAX_N * self.bits - 3), 0
+        while b < n:
+            a, b = b, min(b + step, max(b + 1, int(np.searchsorted(off, off[b] + BLOCK_CHARS, "right")) - 1))
             row, key = _ngrams(words[off[a] : off[b]], off[a : b + 1] - off[a], codes, self.bits)
             if not len(row):
                 continue

@@ -57,10 +57,12 @@ def split_recordings(lines: DataFrame, limits: DataFrame, keys: Sequence[str], l
     place), ``inside`` (a hard cut, only where no place between lines is within
     reach) or ``end`` (of the recording). The cuts are greedy: the farthest
     place between lines that is within reach, else the full length. Repeated
-    lines and ties change nothing. Other columns are ignored.
+    lines and ties change nothing. Lines whose e is NULL or not after b are left
+    out. Other columns are ignored; keys may not be named like columns made here.
     """
     keys = list(keys)
     space = Workspace(lines.sparkSession, "splitting")
+    lines = lines.select(*keys, "b", "e").filter("b < e")
     limits = limits.select(*limit_keys, F.col("max_ms").cast("long").alias("max_ms"), F.greatest(F.coalesce(F.col("overlap_ms").cast("long"), F.lit(0)), F.lit(0)).alias("ov"))
     limits = limits.filter("max_ms >= 1").dropDuplicates(list(limit_keys)).withColumn("ov", F.least("ov", F.col("max_ms") - 1))
     recs = lines.groupBy(*keys).agg(F.min("b").alias("lo"), F.max("e").alias("hi")).join(limits, list(limit_keys))
