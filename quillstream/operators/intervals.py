@@ -160,7 +160,8 @@ def continuous_periods(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     whether two of its spans share at least 1 ms (equal spans of two rows do).
     A gap is the stretch between two consecutive periods of an entity. NULL
     keys are an entity of their own; no rows give no stretches; other columns
-    are left out. Negative times are allowed.
+    are left out, and keys may not be named like the columns made here. Negative
+    times are allowed.
 
     A span is cut at shard borders, one row for each 65.5 s of its length. The
     last step joins only the outermost runs of shards, at most two rows for
