@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.operators.joins import missing_from
+from quillstream.runtime import Workspace
 
 
 def lineage(tree: DataFrame, node: str, parent: str, max_depth: int = 32) -> DataFrame:
@@ -16,13 +17,15 @@ def lineage(tree: DataFrame, node: str, parent: str, max_depth: int = 32) -> Dat
     Distances double each step: the ancestors 1, 2, 4 ... up are joined to what
     is known, so a tree of depth d takes log2(d) joins. Cycles end at max_depth.
     """
+    space = Workspace(tree.sparkSession, "lineage")
     edges = tree.filter(F.col(parent).isNotNull()).select(F.col(node).alias("node_id"), F.col(parent).alias("ancestor_id"))
     known = tree.select(F.col(node).alias("node_id"), F.col(node).alias("ancestor_id"), F.lit(0).alias("up"))
-    leap, size = edges, 1
-    while size <= max_depth:
-        further = known.join(leap.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id")), "ancestor_id")
-        known = known.unionByName(further.select("node_id", F.col("next_id").alias("ancestor_id"), (F.col("up") + size).alias("up")))
-        leap = leap.join(leap.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id")), "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id"))
+    leap, size = space.put(edges), 1
+    while size <= max_depth and not leap.isEmpty():
+        after = leap.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
+        further = known.join(after, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id"), (F.col("up") + size).alias("up"))
+        known = space.put(known.unionByName(further))
+        leap = space.put(leap.join(after, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id")))
         size *= 2
     return known.groupBy("node_id", "ancestor_id").agg(F.min("up").alias("up"))
 

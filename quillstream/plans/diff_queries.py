@@ -20,9 +20,10 @@ TOOLS = ("espeak", "mms_asr", "mms_lid", "mms_tts", "whisper")
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line's text and the text its tokens make, both comparable, and their diff."""
-    w = tokens(spark, sf_dir, "script_id", "word_seq", "word").filter("script_id is not null")
+    s = lines(spark, sf_dir, "dataset_id", "script_text").filter("script_text is not null")
+    w = tokens(spark, sf_dir, "script_id", "word_seq", "word").join(s, "script_id", "left_semi")  # ids of no line may be hot
     made = w.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word_id", "word"))), lambda r: F.coalesce(r["word"], F.lit(""))), "").alias("comp"))
-    p = lines(spark, sf_dir, "dataset_id", "script_text").filter("script_text is not null").join(made, "script_id")
+    p = s.join(made, "script_id")
     p = p.select("script_id", "dataset_id", F.trim(X.cleanup(F.col("script_text"))).alias("base"), F.trim(X.cleanup(F.col("comp"))).alias("comp"))
     return p.withColumn("d", D.diffs(F.col("base"), F.col("comp")))
 

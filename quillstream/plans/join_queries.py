@@ -128,9 +128,10 @@ def words_with_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_text_from_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with the text their tokens make, '' without tokens (JOI-09, AGG-10)."""
-    w = tokens(spark, sf_dir, "script_id", "word_seq", "word").filter("script_id is not null")
+    s = lines(spark, sf_dir, "script_text")
+    w = tokens(spark, sf_dir, "script_id", "word_seq", "word").join(s, "script_id", "left_semi")  # ids of no line may be hot
     made = w.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word_id", "word"))), lambda r: F.coalesce(r["word"], F.lit(""))), "").alias("heard"))
-    return lines(spark, sf_dir, "script_text").join(made, "script_id", "left").select("script_id", "script_text", F.coalesce("heard", F.lit("")).alias("heard"))
+    return s.join(made, "script_id", "left").select("script_id", "script_text", F.coalesce("heard", F.lit("")).alias("heard"))
 
 
 def _versions(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -227,6 +228,7 @@ def train_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lines(spark, sf_dir, "script_begin_ts", "script_end_ts").filter(known(F.col("script_end_ts")) & (F.col("script_end_ts") > F.col("script_begin_ts")) & ~F.isnan("script_begin_ts"))
     silent = w.join(t, "script_id").filter(F.col("word_begin_ts") - F.col("script_begin_ts") > 60).select("script_id").distinct()
     t = t.join(keep, "script_id", "left_semi").join(silent, "script_id", "left_anti")
+    w = w.join(t, "script_id", "left_semi")
     text = w.groupBy("script_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word_id", "word"))), lambda r: r["word"]), " ").alias("text"), F.count(F.lit(1)).alias("n_words"))
     return t.join(text, "script_id").select("script_id", to_ms(F.col("script_end_ts") - F.col("script_begin_ts")).alias("duration_ms"), "n_words", "text")
 

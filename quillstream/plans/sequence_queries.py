@@ -13,6 +13,7 @@ from quillstream.operators import sequence as Q
 from quillstream.operators import stats as S
 from quillstream.operators.intervals import to_ms
 from quillstream.operators.joins import line_word_char
+from quillstream.operators.mutations import number_rows
 from quillstream.plans.current_sql import sql
 from quillstream.runtime import small_side, table
 
@@ -87,7 +88,8 @@ def padded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verse_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines put together from their words: begin, end, text, mean score (AGG-10, AGG-11)."""
-    w = tokens(spark, sf_dir, "script_id", "word_seq", "ttype", "word", "word_begin_ts", "word_end_ts", "fa_score").filter("ttype = 'W' and script_id is not null and word is not null")
+    w = tokens(spark, sf_dir, "script_id", "word_seq", "ttype", "word", "word_begin_ts", "word_end_ts", "fa_score").filter("ttype = 'W' and word is not null")
+    w = w.join(lines(spark, sf_dir, "dataset_id").select("script_id"), "script_id", "left_semi")  # ids of no line may be hot
     order = F.struct("word_seq", "word_id")
     score = F.when(~F.isnan("fa_score"), F.col("fa_score"))
     g = w.groupBy("script_id").agg(
@@ -100,7 +102,7 @@ def verse_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of aligned letters of one word within a word id's file order (AGG-12, AGG-13, WIN-03)."""
-    c = letters(spark, sf_dir, "word_id", "uroman", "start_ts", "end_ts").filter("word_id is not null")
+    c = letters(spark, sf_dir, "word_id", "uroman", "start_ts", "end_ts").join(tokens(spark, sf_dir, "ttype").select("word_id"), "word_id", "left_semi")
     before = F.lag("end_ts").over(W.partitionBy("word_id").orderBy("char_id"))
     i = S.islands(c, ["word_id"], ["char_id"], before.isNull() | (before < F.col("start_ts") - 0.0005))
     g = i.groupBy("word_id", "island").agg(F.min("char_id").alias("first_char"), F.count(F.lit(1)).alias("n"), F.min_by("start_ts", "char_id").alias("b"), F.max_by("end_ts", "char_id").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_id", "uroman"))), lambda r: F.coalesce(r["uroman"], F.lit(""))), "").alias("text"))
@@ -259,8 +261,11 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in the order of books, chapters and verses (SRT-03, SET-01, SET-02)."""
     b = small_side(table(spark, sf_dir, "books").select("book_id", "seq", "testament"))
     t = lines(spark, sf_dir, "dataset_id", "book_id", "chapter_num", "verse_num").join(b, "book_id", "left")
-    place = F.row_number().over(W.partitionBy("dataset_id").orderBy("seq", "chapter_num", "verse_num", "script_id"))
-    return t.select("script_id", "dataset_id", F.coalesce("testament", F.lit("AP")).alias("testament"), place.cast("long").alias("place"))
+    # One range sort over all datasets, as a dataset may have a third of the lines.
+    n = number_rows(t, "n", ["dataset_id", "seq", "chapter_num", "verse_num", "script_id"])
+    first = n.groupBy("dataset_id").agg(F.min("n").alias("first"))
+    n = n.join(small_side(first), "dataset_id")
+    return n.select("script_id", "dataset_id", F.coalesce("testament", F.lit("AP")).alias("testament"), (F.col("n") - F.col("first") + 1).alias("place"))
 
 
 def chapter_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,8 +321,8 @@ ORACLE = {
     "score_histogram": sql("SELECT dataset_id, floor(round(-log10(fa_score), 6) * 10)::BIGINT AS bucket, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY dataset_id), 6) AS percent FROM w WHERE fa_score > 0 AND NOT isnan(fa_score) GROUP BY 1, 2"),
     "feature_frames": sql("SELECT word_id, frame - 1 AS frame, coeff - 1 AS coeff, round((v - avg(v) OVER (PARTITION BY coeff)) / nullif(stddev_pop(v) OVER (PARTITION BY coeff), 0), 6) AS z FROM (SELECT word_id, frame, unnest(r)::DOUBLE AS v, generate_subscripts(r, 1) AS coeff FROM (SELECT word_id, unnest(mfcc) AS r, generate_subscripts(mfcc, 1) AS frame FROM m)) WHERE v IS NOT NULL"),
     "padded_features": sql("SELECT word_id, greatest((SELECT max(n_rows) FROM m), len(mfcc))::BIGINT AS n_rows, round(coalesce(list_sum(list_transform(flatten(mfcc), lambda x: x::DOUBLE)), 0), 3) AS total FROM m"),
-    "verse_assembly": sql("SELECT script_id, round(nullif(arg_min(coalesce(word_begin_ts, -1), struct_pack(a := word_seq, b := word_id)), -1), 6) AS begin_ts, round(nullif(arg_max(coalesce(word_end_ts, -1), struct_pack(a := word_seq, b := word_id)), -1), 6) AS end_ts, string_agg(word, ' ' ORDER BY word_seq, word_id) AS text, round(avg(CASE WHEN NOT isnan(fa_score) THEN fa_score END), 9) AS score FROM w WHERE ttype = 'W' AND script_id IS NOT NULL AND word IS NOT NULL GROUP BY script_id"),
-    "word_islands": sql("SELECT word_id, island, min(char_id) AS first_char, count(*) AS n, round(arg_min(start_ts, char_id), 6) AS begin_ts, round(arg_max(end_ts, char_id), 6) AS end_ts, string_agg(coalesce(uroman, ''), '' ORDER BY char_id) AS text FROM (SELECT *, sum(CASE WHEN prev IS NULL OR prev < start_ts - 0.0005 THEN 1 ELSE 0 END) OVER (PARTITION BY word_id ORDER BY char_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, lag(end_ts) OVER (PARTITION BY word_id ORDER BY char_id) AS prev FROM c WHERE word_id IS NOT NULL)) GROUP BY word_id, island"),
+    "verse_assembly": sql("SELECT script_id, round(nullif(arg_min(coalesce(word_begin_ts, -1), struct_pack(a := word_seq, b := word_id)), -1), 6) AS begin_ts, round(nullif(arg_max(coalesce(word_end_ts, -1), struct_pack(a := word_seq, b := word_id)), -1), 6) AS end_ts, string_agg(word, ' ' ORDER BY word_seq, word_id) AS text, round(avg(CASE WHEN NOT isnan(fa_score) THEN fa_score END), 9) AS score FROM w WHERE ttype = 'W' AND script_id IN (SELECT script_id FROM s) AND word IS NOT NULL GROUP BY script_id"),
+    "word_islands": sql("SELECT word_id, island, min(char_id) AS first_char, count(*) AS n, round(arg_min(start_ts, char_id), 6) AS begin_ts, round(arg_max(end_ts, char_id), 6) AS end_ts, string_agg(coalesce(uroman, ''), '' ORDER BY char_id) AS text FROM (SELECT *, sum(CASE WHEN prev IS NULL OR prev < start_ts - 0.0005 THEN 1 ELSE 0 END) OVER (PARTITION BY word_id ORDER BY char_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, lag(end_ts) OVER (PARTITION BY word_id ORDER BY char_id) AS prev FROM c WHERE word_id IN (SELECT word_id FROM w))) GROUP BY word_id, island"),
     "latin_datasets": sql(r"SELECT dataset_id, coalesce(sum(length(regexp_replace(script_text, '[^\x{0000}-\x{024F}]', '', 'g'))) / nullif(sum(length(script_text)), 0) > 0.9, false) AS is_latin FROM s GROUP BY dataset_id"),
     "line_scores": sql("SELECT * FROM (SELECT script_id, arg_max(word_id, o) AS word_id, arg_max(n_bad, o) AS n_bad, round(arg_max(x * CASE WHEN n_bad >= n THEN 2 ELSE 1 END, o), 6) AS score FROM (SELECT *, struct_pack(a := n_bad, b := -word_id) AS o FROM (SELECT script_id, word_id, count(*) AS n, count(*) FILTER (c.fa_score <= 0.3 AND c.fa_score > 0) AS n_bad, sum(CASE WHEN c.fa_score <= 0.3 AND c.fa_score > 0 THEN -log10(c.fa_score) ELSE 0 END) AS x FROM c JOIN w USING (word_id) WHERE ttype = 'W' AND script_id IS NOT NULL AND c.fa_score IS NOT NULL AND NOT isnan(c.fa_score) GROUP BY script_id, word_id)) GROUP BY script_id) WHERE score > 0"),
     "vocabulary_letters": sql("SELECT dataset_id, letter, row_number() OVER (PARTITION BY dataset_id ORDER BY letter) AS id FROM (SELECT DISTINCT dataset_id, unnest(regexp_extract_all(nfc_normalize(lower(word)), '(?s).')) AS letter FROM w WHERE ttype = 'W' AND word <> '')"),
