@@ -254,11 +254,15 @@ def _segments(model: Model):
 
 
 def fit_on(samples: DataFrame, lang: str = "lang", text: str = "sample_text", order: str = "sample_id") -> Model:
-    """The model of at most MAX_SAMPLES samples of each language (the first by ``order``), fitted by the driver."""
+    """The model of at most MAX_SAMPLES samples of each language (the first by ``order``), fitted by the driver.
+
+    Samples whose language or text is NULL are left out. Without any the model
+    knows no language, and no text has stretches.
+    """
     known = samples.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.col(order).alias("o"))
     rows = known.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("o", "t"))).filter(F.col("n") <= MAX_SAMPLES).orderBy("l", "o", "t").collect()
     if not rows:
-        raise ValueError("no labelled samples")
+        return Model([], np.zeros(0, np.uint32), 1, np.zeros(1, np.int64), np.zeros((1, 0), np.float32))
     return fit([r.t for r in rows], [r.l for r in rows])
 
 
@@ -273,11 +277,12 @@ def identify_languages(documents: DataFrame, model: Model, doc_id: str = "doc_id
     blank or no known language), ``wrong`` (another language than the text),
     ``mixed`` (the text is in several languages) or ``right``.
 
-    NULL and empty texts, and texts without letters, have no stretches and give
-    no rows. Texts are read whole. A repeated doc_id gives rows for each of its
+    NULL and empty texts, texts without letters, and all texts if the model
+    knows no language, have no stretches and give no rows. Texts are read whole. A repeated doc_id gives rows for each of its
     rows; NULL ids stay NULL. Other columns are ignored.
     """
     src = documents.select(F.col(doc_id).alias("doc"), F.col(label).alias("label"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    src = src if model.langs else src.limit(0)
     out = T.StructType([
         T.StructField("doc", src.schema["doc"].dataType), T.StructField("label", T.StringType()), T.StructField("seg_no", T.IntegerType()),
         T.StructField("found", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("begin_char", T.LongType()),

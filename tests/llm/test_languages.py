@@ -94,5 +94,6 @@ def test_fit_on(spark):
     rows = [(i, "en" if i % 2 else "de", say(random.Random(i), "en" if i % 2 else "de")) for i in range(30)] + [(99, None, "x"), (98, "en", None)]
     m = L.fit_on(spark.createDataFrame(rows, "sample_id long, lang string, sample_text string"))
     assert m.langs == ["de", "en"]
-    with pytest.raises(ValueError):
-        L.fit_on(spark.createDataFrame([], "sample_id long, lang string, sample_text string"))
+    none = L.fit_on(spark.createDataFrame([], "sample_id long, lang string, sample_text string"))
+    assert none.langs == []
+    assert L.identify_languages(spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string"), none).count() == 0
