@@ -60,6 +60,19 @@ def matrix_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("word_id", F.col("line").cast("long").alias("line"), F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), F.size("cells").cast("long").alias("width"))
 
 
+def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All coordinates of vectors as columns (SNK-01, SNK-06)."""
+    t = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return K.wide_vector(t, "embedding", "v", K.vector_width(t, "embedding"))
+
+
+def matrix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices one line a row with all cells as columns, the sizes on the first (SNK-01, SNK-03, SNK-06)."""
+    m = K.matrix_rows(features(spark, sf_dir), "word_id", "mfcc", ["n_rows", "n_cols"])
+    m = m.select("word_id", F.col("line").cast("long").alias("line"), F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), F.col("cells").cast("array<double>").alias("cells"))
+    return K.wide_vector(m, "cells", "mfcc", K.vector_width(m, "cells"))
+
+
 def chapter_file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of entries and size of each dataset's map from chapters to files (SNK-17)."""
     t = lines(spark, sf_dir, "dataset_id", "book_id", "chapter_num", "audio_file").filter("audio_file <> ''").groupBy("dataset_id", "book_id", "chapter_num").agg(F.max("audio_file").alias("audio_file"))
@@ -96,7 +109,7 @@ def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "dataset_id long, language_iso string, status string")
 
 
-QUERIES = {f.__name__: f for f in (usfm_verses, csv_rows, asr_lines, active_columns, wide_vectors, matrix_export, chapter_file_map, messages, stream_hours, stream_sessions, request_plan)}
+QUERIES = {f.__name__: f for f in (usfm_verses, csv_rows, asr_lines, active_columns, wide_vectors, matrix_export, vector_columns, matrix_columns, chapter_file_map, messages, stream_hours, stream_sessions, request_plan)}
 
 _CSV = r"(?s)^([^;]*);([^;]*);([^;]*);\"(.*)\"$"
 ORACLE = {
@@ -106,6 +119,8 @@ ORACLE = {
     "asr_lines": r"SELECT doc_id, pos, begin_ts, coalesce(lead(begin_ts) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS end_ts, CASE WHEN begin_ts IS NULL THEN line ELSE regexp_extract(line, '^\[([0-9]+\.[0-9]+)\] ?(.*)$', 2) END AS script_text FROM (SELECT doc_id, pos - 1 AS pos, line, try_cast(nullif(regexp_extract(line, '^\[([0-9]+\.[0-9]+)\] ?(.*)$', 1), '') AS DOUBLE) AS begin_ts FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE fmt = 'asr' AND text <> '')) WHERE line <> '')",
     "wide_vectors": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 5) AS v{i}" for i in range(4)) + " FROM embeddings",
     "matrix_export": sql("SELECT word_id, k - 1 AS line, CASE WHEN k = 1 THEN n_rows END AS n_rows, CASE WHEN k = 1 THEN n_cols END AS n_cols, len(r) AS width FROM (SELECT word_id, n_rows, n_cols, unnest(mfcc) AS r, generate_subscripts(mfcc, 1) AS k FROM m)"),
+    "vector_columns": "SELECT e.vec_id, p.* EXCLUDE (vec_id) FROM embeddings e LEFT JOIN (PIVOT (SELECT vec_id, 'v' || (i - 1) AS name, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) ON name USING any_value(x) GROUP BY vec_id) p USING (vec_id)",
+    "matrix_columns": sql("SELECT r.word_id, r.line, CASE WHEN r.line = 0 THEN n_rows END AS n_rows, CASE WHEN r.line = 0 THEN n_cols END AS n_cols, p.* EXCLUDE (word_id, line) FROM r LEFT JOIN (PIVOT (SELECT word_id, line, 'mfcc' || (i - 1) AS name, x::DOUBLE AS x FROM (SELECT word_id, line, unnest(cells) AS x, generate_subscripts(cells, 1) AS i FROM r)) ON name USING any_value(x) GROUP BY word_id, line) p USING (word_id, line)", "r AS (SELECT word_id, n_rows, n_cols, unnest(mfcc) AS cells, generate_subscripts(mfcc, 1) - 1 AS line FROM m)"),
     "chapter_file_map": sql("SELECT dataset_id, count(DISTINCT (book_id, chapter_num)) AS n_chapters FROM s WHERE audio_file <> '' GROUP BY dataset_id"),
     "messages": "SELECT source AS \"group\", count(*) AS n, count(DISTINCT coalesce(text, '')) AS n_distinct FROM documents GROUP BY source",
     "stream_hours": "SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY h, event_type",

@@ -41,6 +41,11 @@ def wide_vector(df: DataFrame, vector: str, tag: str, width: int) -> DataFrame:
     return df.select(*[c for c in df.columns if c != vector], *[F.get(vector, F.lit(i)).alias(f"{tag}{i}") for i in range(width)])
 
 
+def vector_width(df: DataFrame, vector: str) -> int:
+    """The longest vector of the whole table; 0 if there is none (SNK-06)."""
+    return max(0, df.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0])
+
+
 def matrix_rows(df: DataFrame, key: str, matrix: str, scalars: Sequence[str]) -> DataFrame:
     """A row for each line of a matrix; scalars only on the first (SNK-01, SNK-03)."""
     out = df.select(key, *scalars, F.posexplode_outer(matrix).alias("line", "cells"))

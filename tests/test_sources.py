@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.model import SCHEMAS, duplicate_keys, empty
+from quillstream.plans import source_queries as S
 from quillstream.sinks import writers as K
 from quillstream.sources import readers as R
 
@@ -109,3 +110,16 @@ def test_model(spark):
     for name in SCHEMAS:
         assert empty(spark, name).count() == 0
     assert duplicate_keys(spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "a int, n_rows int"), ["a"]).collect() == [(1, 2)]
+
+
+def test_exports_are_as_wide_as_their_vectors(spark, tmp_path):
+    spark.createDataFrame([(1, [0.5, 1.5]), (2, [float(i) for i in range(9)]), (3, None), (4, [])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = S.vector_columns(spark, str(tmp_path))
+    assert got.columns == ["vec_id", *[f"v{i}" for i in range(9)]]
+    assert [list(r)[1:] for r in got.orderBy("vec_id").collect()] == [[0.5, 1.5] + [None] * 7, [float(i) for i in range(9)], [None] * 9, [None] * 9]
+    m = [(1, 2, 3, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]), (2, 1, 5, [[7.0, 8.0, 9.0, 10.0, 11.0]])]
+    spark.createDataFrame(m, "word_id long, n_rows int, n_cols int, mfcc array<array<float>>").withColumn("loaded_at", F.current_timestamp()).write.parquet(str(tmp_path / "word_mfcc.parquet"))
+    got = S.matrix_columns(spark, str(tmp_path))
+    assert got.columns == ["word_id", "line", "n_rows", "n_cols", *[f"mfcc{i}" for i in range(5)]]
+    assert [tuple(r) for r in got.orderBy("word_id", "line").collect()] == [(1, 0, 2, 3, 1.0, 2.0, 3.0, None, None), (1, 1, None, None, 4.0, 5.0, 6.0, None, None), (2, 0, 1, 5, 7.0, 8.0, 9.0, 10.0, 11.0)]
+    assert K.vector_width(spark.createDataFrame([], "v array<double>"), "v") == 0
