@@ -35,8 +35,8 @@ MAX_SAMPLES, MAX_LANDMARKS = 500, 64
 RIDGE = 1e-3
 #: A change of language must gain so much (in words of full score).
 SWITCH = 0.9
-#: A quotation within a sentence is not scored if so many words are left.
-LEFT_WORDS = 2
+#: A quotation of so many words at most isn't scored, if most of its sentence's words are elsewhere.
+FEW_WORDS = 5
 #: Ends of sentences.
 ENDS = ".!?…;\n。！？；"
 
@@ -180,7 +180,7 @@ def _viterbi(gain: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarr
 
 
 def _unquoted(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Code points with typographic quotations inside of sentences blanked out, where enough words stay."""
+    """Code points with short typographic quotations inside of sentences blanked out, where they are a minority of the sentence's words."""
     begin, end = cps == 0x201C, cps == 0x201D
     if not begin.any():
         return cps
@@ -192,11 +192,13 @@ def _unquoted(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     inside = begin[last] & (unit[last] == unit) & end[following] & (unit[following] == unit)
     if not inside.any():
         return cps
-    letter = (tables().script[cps] > 0) & ~inside
+    letter = tables().script[cps] > 0
     word = letter.copy()
-    word[1:] &= ~letter[:-1]
-    few = np.bincount(unit[word], minlength=len(bounds) - 1) < LEFT_WORDS
-    return np.where(inside & ~few[unit], np.uint32(32), cps)
+    word[1:] &= ~(letter[:-1] & (inside[:-1] == inside[1:]))
+    # A quotation is known by the place of its opening mark.
+    inside &= np.bincount(last[word & inside], minlength=len(cps))[last] <= FEW_WORDS
+    quoted, other = (np.bincount(unit[word & x], minlength=len(bounds) - 1) for x in (inside, ~inside))
+    return np.where(inside & (quoted < other)[unit], np.uint32(32), cps)
 
 
 def segment(cps: np.ndarray, off: np.ndarray, model: Model, codes: np.ndarray, is_end: np.ndarray):

@@ -97,3 +97,14 @@ def test_fit_on(spark):
     none = L.fit_on(spark.createDataFrame([], "sample_id long, lang string, sample_text string"))
     assert none.langs == []
     assert L.identify_languages(spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string"), none).count() == 0
+
+
+def test_long_quotations_are_scored(spark, model):
+    rnd = random.Random(7)
+    quote = lambda x, k: f"She carried slowly “{say(rnd, x, k)}”. "
+    docs = [(1, quote("de", 40)), (2, quote("en", 40)), (3, quote("de", 2)), (4, say(rnd, "en", 8) + ". " + quote("de", 40))]
+    rows = L.identify_languages(spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en")), model).orderBy("doc_id", "seg_no").collect()
+    assert [(r.doc_id, r.lang) for r in rows] == [(1, "de"), (2, "en"), (3, "en"), (4, "en"), (4, "de")]
+    for text, left_out in ((docs[0][1], False), (docs[1][1], False), (docs[2][1], True), (quote("de", 5), False), ("one two three four “a b c d e” five six", True), ("one two three four five six seven “a b c d e f”", False)):
+        cps, off = code_points(pa.array([text]))
+        assert (L._unquoted(cps, off) != cps).any() == left_out
