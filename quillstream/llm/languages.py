@@ -38,7 +38,7 @@ SWITCH = 0.9
 #: A quotation of so many words at most isn't scored, if most of its sentence's words are elsewhere.
 FEW_WORDS = 5
 #: Ends of sentences.
-ENDS = ".!?…;\n。！？；"
+ENDS = ".!?…;\n。！？；．｡"
 
 # Other names of the languages (ISO 639 codes, withdrawn codes, names).
 ALIASES = {

@@ -108,3 +108,10 @@ def test_long_quotations_are_scored(spark, model):
     for text, left_out in ((docs[0][1], False), (docs[1][1], False), (docs[2][1], True), (quote("de", 5), False), ("one two three four “a b c d e” five six", True), ("one two three four five six seven “a b c d e f”", False)):
         cps, off = code_points(pa.array([text]))
         assert (L._unquoted(cps, off) != cps).any() == left_out
+
+
+def test_full_width_full_stops_end_sentences(spark, model):
+    rnd = random.Random(11)
+    docs = [(i, f"{say(rnd, 'en', 8)}{end}{say(rnd, 'de', 8)}{end}") for i, end in enumerate("．｡。.")]
+    rows = L.identify_languages(spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en")), model).orderBy("doc_id", "seg_no").collect()
+    assert [(r.doc_id, r.lang, r.begin_char) for r in rows] == [x for i, text in docs for x in ((i, "en", 0), (i, "de", text.index(text[-1]) + 1))]
