@@ -7,51 +7,88 @@ suppression are DataFrame operations. An op is -1 (only in base), 0 (equal) or
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts whose edit path takes more steps than this are compared by longest
-#: matching blocks instead, whole all the same.
+#: Steps beyond so many are taken for all diagonals at once, with the same result.
 MAX_STEPS = 2_000
 
 DIFFS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-def _script(a: str, b: str) -> list[tuple[int, str]] | None:
-    """Shortest edit script of two texts without common ends: greedy furthest-reaching paths, then traced back."""
+def _step(a: str, b: str, ca: np.ndarray, cb: np.ndarray, reach, d: int):
+    """Furthest x on the diagonals -d, -d + 2 ... d after d steps, from those after d - 1 steps."""
     n, m = len(a), len(b)
-    reach, seen = {1: 0}, []
-    for d in range(min(n + m, MAX_STEPS) + 1):
-        seen.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
+    if d <= MAX_STEPS:
+        out = []
+        for i in range(d + 1):
+            x = reach[i] if i == 0 or (i != d and reach[i - 1] < reach[i]) else reach[i - 1] + 1
+            k = 2 * i - d
             while x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                out: list[tuple[int, str]] = []
-                x, y = n, m
-                for step in range(d, 0, -1):
-                    v, k = seen[step], x - y
-                    down = k == -step or (k != step and v[k - 1] < v[k + 1])
-                    k0 = k + 1 if down else k - 1
-                    x0 = v[k0]
-                    y0 = x0 - k0
-                    start = x0 if down else x0 + 1
-                    if x > start:
-                        out.append((0, a[start:x]))
-                    out.append((1, b[y0 : y0 + 1]) if down else (-1, a[x0 : x0 + 1]))
-                    x, y = x0, y0
-                if x:
-                    out.append((0, a[:x]))
-                return out[::-1]
-    return None
+            out.append(x)
+        return out
+    reach = np.asarray(reach)
+    low, high = np.append(-1, reach), np.append(reach, -1)  # from diagonal k - 1, one deleted, and k + 1, one inserted
+    x = np.where(low < high, high, low + 1)
+    k = np.arange(-d, d + 1, 2)
+    live = np.arange(d + 1)
+    while len(live):
+        p, q = x[live], x[live] - k[live]
+        live = live[(p < n) & (q < m)]
+        live = live[ca[x[live]] == cb[x[live] - k[live]]]
+        x[live] += 1
+    return x
+
+
+def _script(a: str, b: str) -> list[tuple[int, str]]:
+    """Shortest edit script of two texts without common ends: greedy furthest-reaching paths, then traced back.
+
+    Of the steps' ends only every so many are kept; those between are found
+    again on the way back. They are kept at growing distances, so that texts of
+    any length take memory of the number of steps to the power 1.5 at most.
+    """
+    n, m = len(a), len(b)
+    ca, cb = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    first = 0
+    while first < min(n, m) and a[first] == b[first]:
+        first += 1
+    reach, d, kept, next_kept = [first], 0, {0: [first]}, 1
+    while not ((n - m + d) % 2 == 0 and abs(n - m) <= d and reach[(n - m + d) // 2] >= n):
+        d += 1
+        reach = _step(a, b, ca, cb, reach, d)
+        if d == next_kept:
+            kept[d] = reach
+            next_kept = d + 1 + isqrt(d)
+    out: list[tuple[int, str]] = []
+    x, y, top = n, m, d
+    for base in sorted(kept, reverse=True):
+        if base >= top and top:
+            continue
+        seen = [kept[base]]
+        for step in range(base + 1, top):
+            seen.append(_step(a, b, ca, cb, seen[-1], step))
+        for step in range(top, base, -1):
+            v, k = seen[step - 1 - base], x - y
+            i = (k + step) // 2  # v[i - 1] is diagonal k - 1, v[i] is k + 1
+            down = i == 0 or (i != step and v[i - 1] < v[i])
+            x0 = int(v[i] if down else v[i - 1])
+            y0 = x0 - (k + 1 if down else k - 1)
+            start = x0 if down else x0 + 1
+            if x > start:
+                out.append((0, a[start:x]))
+            out.append((1, b[y0 : y0 + 1]) if down else (-1, a[x0 : x0 + 1]))
+            x, y = x0, y0
+        top = base
+    if x:
+        out.append((0, a[:x]))
+    return out[::-1]
 
 
 def diff_texts(base: str, comp: str) -> list[tuple[int, str]]:
@@ -65,10 +102,8 @@ def diff_texts(base: str, comp: str) -> list[tuple[int, str]]:
     a, b = base[n : len(base) - e], comp[n : len(comp) - e]
     if not a or not b:
         steps = [(-1, a), (1, b)]
-    elif (steps := _script(a, b)) is None:
-        steps = []
-        for tag, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            steps += [(0, a[i:j])] if tag == "equal" else [(-1, a[i:j]), (1, b[k:m])]
+    else:
+        steps = _script(a, b)
     out: list[tuple[int, str]] = []
     gone = came = ""
     for op, text in [(0, base[:n]), *steps, (0, base[len(base) - e :]), (0, "")]:

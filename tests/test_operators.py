@@ -35,6 +35,26 @@ def test_diff_is_shortest_and_long_texts_are_whole(monkeypatch):
     assert "".join(t for o, t in d if o <= 0) == a and "".join(t for o, t in d if o >= 0) == b
 
 
+def test_diff_is_shortest_at_any_length(monkeypatch):
+    rnd = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("ab é🙂") for _ in range(rnd.randrange(60))) for _ in range(2))
+        monkeypatch.setattr(D, "MAX_STEPS", 5)
+        got = D.diff_texts(a, b)
+        monkeypatch.setattr(D, "MAX_STEPS", 2_000)
+        assert got == D.diff_texts(a, b)
+    a, b = "abcd" * 600, "bdca" * 600
+    row = list(range(len(b) + 1))  # edit distance without substitutions, a row at a time
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(old[j - 1] if x == y else min(old[j], row[-1]) + 1)
+    want = D.diff_texts(a, b)
+    assert sum(len(t) for o, t in want if o) == row[-1]
+    monkeypatch.setattr(D, "MAX_STEPS", 5)
+    assert D.diff_texts(a, b) == want
+
+
 def test_scores_and_suppression(spark):
     rows = [(i, "the cat sat", "the kat sat") for i in range(4)] + [(9, "one two", "one three"), (10, "same", "same"), (11, None, "x"), (12, "abc", "abk")]
     p = spark.createDataFrame(rows, "k int, a string, b string").withColumn("d", D.diffs(F.col("a"), F.col("b")))
