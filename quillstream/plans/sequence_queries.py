@@ -185,6 +185,12 @@ def gap_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.long_gaps(g, Q.gap_limits(g, {4: 1.0}, 2.0)).select("char_id", _long("gap_class"), "silence")
 
 
+def long_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences at or above mean + 4 deviations of their class (3 at the end of a file), the reference's limits (WIN-02, AGG-02, AGG-03)."""
+    g = _char_gaps(spark, sf_dir)
+    return Q.long_gaps(g, Q.gap_limits(g, {4: 3.0}, 4.0)).select("char_id", _long("gap_class"), "silence")
+
+
 def _word_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lines(spark, sf_dir, "dataset_id", "book_id", "chapter_num", "script_end_ts").filter(known(F.col("script_end_ts")))
     w = tokens(spark, sf_dir, "script_id", "ttype", "word_begin_ts", "word_end_ts").filter((F.col("ttype") == "W") & (F.col("word_end_ts") >= 0) & (F.col("word_begin_ts") >= 0) & ~F.isnan("word_end_ts") & ~F.isnan("word_begin_ts")).join(s, "script_id")
@@ -293,7 +299,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         romanised_share, score_classes, score_stats, score_quantiles, score_histogram, feature_frames, padded_features, verse_assembly, word_islands, latin_datasets, line_scores,
-        vocabulary_letters, lexicon, letter_histogram, tool_coverage, marker_groups, code_positions, char_gaps, gap_outliers, word_gaps, widest_gaps, midpoints, next_begins,
+        vocabulary_letters, lexicon, letter_histogram, tool_coverage, marker_groups, code_positions, char_gaps, gap_outliers, long_silences, word_gaps, widest_gaps, midpoints, next_begins,
         feature_slices, headed_lines, unique_verses, duplicate_lines, greedy_batches, batch_sizes, canonical_order, chapter_sequence, invalid_vectors, cutoff_samples,
     )
 }
@@ -333,6 +339,7 @@ ORACLE = {
     "code_positions": sql("SELECT pos, count(*) AS n FROM (SELECT substr(audio_file, pos, 3) AS book_id, pos FROM (SELECT audio_file, unnest(range(1, greatest(length(audio_file) - 1, 2))) AS pos FROM (SELECT DISTINCT audio_file FROM s WHERE audio_file <> ''))) SEMI JOIN books USING (book_id) GROUP BY pos"),
     "char_gaps": sql("SELECT char_id, gap_class, silence FROM h", _GAPS),
     "gap_outliers": sql("SELECT char_id, gap_class, silence FROM h JOIN l USING (gap_class) WHERE silence >= gap_limit", _GAPS + ", l AS (SELECT gap_class, avg(silence) + CASE gap_class WHEN 4 THEN 1 ELSE 2 END * stddev_samp(silence) AS gap_limit FROM h GROUP BY gap_class)"),
+    "long_silences": sql("SELECT char_id, gap_class, silence FROM h JOIN l USING (gap_class) WHERE silence >= gap_limit", _GAPS + ", l AS (SELECT gap_class, avg(silence) + CASE gap_class WHEN 4 THEN 3 ELSE 4 END * stddev_samp(silence) AS gap_limit FROM h GROUP BY gap_class)"),
     "word_gaps": sql("SELECT * FROM q", _WGAPS),
     "widest_gaps": sql("SELECT script_id, arg_max(word_id, struct_pack(a := raised, b := -word_id)) AS word_id, max(raised) AS raised FROM q GROUP BY script_id ORDER BY raised DESC, script_id LIMIT 400", _WGAPS),
     "midpoints": sql(f"SELECT script_id, round(coalesce((script_begin_ts + lag(script_end_ts) OVER o) / 2, 0), 6) AS mid_begin, round(coalesce((lead(script_begin_ts) OVER o + script_end_ts) / 2, max(script_end_ts) OVER (PARTITION BY dataset_id, audio_file)), 6) AS mid_end FROM s WHERE audio_file <> '' AND {_OK.format('script_end_ts')} AND script_end_ts <> 0 AND {_OK.format('script_begin_ts')} WINDOW o AS (PARTITION BY dataset_id, audio_file ORDER BY script_begin_ts, script_id)"),

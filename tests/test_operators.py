@@ -8,6 +8,7 @@ from quillstream.operators import joins as J
 from quillstream.operators import mutations as M
 from quillstream.operators import sequence as Q
 from quillstream.operators import stats as S
+from quillstream.plans import sequence_queries as P
 
 
 def test_diff_rebuilds_both_texts():
@@ -85,6 +86,18 @@ def test_gaps(spark):
     assert Q.long_gaps(g, Q.gap_limits(g, {}, 4.0)).count() == 0  # classes of one have no limit
 
 
+def test_long_silences_have_the_limits_of_the_reference(spark, monkeypatch):
+    # One of n is 1, the others 0: it lies (n - 1) / sqrt(n) deviations above the mean.
+    def found(sizes):
+        rows = [(100 * c + i, c, float(i == 0)) for c, n in sizes.items() for i in range(n)]
+        monkeypatch.setattr(P, "_char_gaps", lambda *_: spark.createDataFrame(rows, "char_id long, gap_class int, silence double"))
+        return sorted(r.gap_class for r in P.long_silences(spark, "").collect())
+
+    assert found({1: 18, 2: 17, 3: 41, 4: 11}) == [1, 3, 4]  # 4.01, 3.88, 6.2 and 3.02 deviations
+    assert found({1: 17, 2: 18, 3: 13, 4: 10}) == [2]  # 3.88, 4.01, 3.33 and 2.85
+    assert found({1: 1}) == []
+
+
 def test_cascade(spark):
     # Lines 1: two words, 2 and 3: one word each, 4: two words.
     rows = [(1, 1, 5), (2, 1, 90), (3, 2, 10), (4, 3, 20), (5, 4, 7), (6, 4, 1)]
