@@ -1,4 +1,4 @@
-"""Letters, tokens and frames brought together."""
+"""Letters, tokens and frames brought together."""
 
 from __future__ import annotations
 
