@@ -55,13 +55,28 @@ def test_borders(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_spans_of_any_length(spark):
+    """Ends of 1e9 s and 1e12 s, over, under and beside short spans, on all levels of shards."""
+    far, further = 10**12, 10**15
+    rnd = random.Random(4)
+    rows = [("one", 0, far), ("two", 5, further), ("two", 10, 20), ("two", further - 3, further + 9), ("all", -(2**63), 2**63 - 1), ("all", 7, 8)]
+    rows += [("apart", 0, 7), ("apart", far, far + 5), ("apart", far + 9, far + 5 * SHARD), ("apart", further, further + SHARD**2 * 3)]
+    rows += [(None, 0, 9 * SHARD), (None, 9 * SHARD, far), (None, 3 * SHARD, 3 * SHARD + 1), (None, further, further + 1)]
+    units = [1, SHARD, SHARD**2, SHARD**3]
+    for k in range(40):
+        for _ in range(rnd.randrange(2, 14)):
+            b = sum(rnd.randrange(-2, 4) * u for u in units[: rnd.randrange(2, 5)])
+            rows.append((f"r{k}", b, b + 1 + rnd.randrange(3) + rnd.randrange(3) * rnd.choice(units)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
 
 def test_times(spark):
-    x = [None, float("nan"), float("inf"), -float("inf"), 1e300, 0.0005, 1.2344, -0.0015]
+    x = [None, float("nan"), float("inf"), -float("inf"), 1e300, 0.0005, 1.2344, -0.0015, 1e12]
     df = spark.createDataFrame([(v,) for v in x], "s double").select(to_ms(F.col("s")).alias("t"))
-    assert [r.t for r in df.collect()] == [None, None, None, None, None, 1, 1234, -1]
+    assert [r.t for r in df.collect()] == [None, None, None, None, None, 1, 1234, -1, 10**15]
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (1.0, None), (1.0001, 1.0002)], "b double, e double")
     assert spans(df, [F.lit(1).alias("k")], "b", "e").count() == 1
