@@ -1,6 +1,6 @@
 import random
 
-from quillstream.llm.splitting import split_recordings
+from quillstream.llm.splitting import oversized, split_recordings
 
 
 def brute(lines, max_ms, ov):
@@ -59,6 +59,37 @@ def test_shard_borders_and_long_chain(spark):
     assert got == {k: brute(v, 30_000, 500) for k, v in recs.items()}
 
 
+def test_lines_no_piece_holds(spark):
+    """Lines with a hard cut inside, on random recordings, and lines that end after 1e9 s and 1e12 s."""
+    rnd = random.Random(9)
+    rows, want = [], set()
+    for k in range(30):
+        t, ls = 0, []
+        for _ in range(rnd.randrange(1, 25)):
+            b = max(0, t + rnd.choice([0, 2, -6, 70]))
+            ls.append((b, b + rnd.choice([4, 20, 49, 51, 130])))
+            t = ls[-1][1]
+        cuts = [end for _, end, cut in brute(ls, 50, 8) if cut == "inside"]
+        for i, (b, e) in enumerate(ls):
+            rows.append((1, f"r{k}", b, e, f"{k}.{i}"))
+            inside = [c for c in cuts if b < c < e]
+            if inside:
+                want.add((f"{k}.{i}", min(inside)))
+    far = [(1, "far", 0, 10**12, "f1"), (1, "far", 10**12 + 7, 10**12 + 9, "f2"), (1, "further", 3, 10**15, "g1"), (1, "further", 5, 10, "g2"), (1, "further", 40, 60, "g3")]
+    lines = spark.createDataFrame(rows + far, "dataset_id long, audio_file string, b long, e long, rid string")
+    files, torn = oversized(lines.withColumnRenamed("rid", "line"), spark.createDataFrame([(1, 50, 8)], "dataset_id long, max_ms long, overlap_ms long"), ["dataset_id", "audio_file"], ["dataset_id"])
+    assert {(r.line, r.first_cut) for r in torn.collect()} == want | {("f1", 50), ("g1", 53), ("g3", 53)}
+    n = {r.audio_file: r.n_pieces for r in files.collect()}
+    assert n["far"] == 1 + -(-(10**12 + 9 - 50) // 42) and n["further"] == 1 + -(-(10**15 - 53) // 42)
+    assert all(v == len(brute([r[2:4] for r in rows if r[1] == k], 50, 8)) for k, v in n.items() if k[0] == "r")
+
+
+def test_long_hole(spark):
+    """A hole of 3,000 s at pieces of 100 ms is more than one block of pieces."""
+    recs = {(1, "hole"): [(0, 10), (3_000_000, 3_000_010)]}
+    assert run(spark, recs, [(1, 100, 9)]) == {k: brute(v, 100, 9) for k, v in recs.items()}
+
+
 def test_empty(spark):
     assert run(spark, {}, []) == {}
     assert run(spark, {(1, "a"): [(0, 10)], (None, "b"): [(0, 99)], (1, None): [(0, 99)]}, [(1, 10, 0)]) == {}
