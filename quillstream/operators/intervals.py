@@ -26,7 +26,7 @@ from quillstream.runtime import Workspace
 
 #: Units of a shard. A shard's bitmap has at most SHARD / 2 runs, so what one
 #: (entity, level, shard) group holds doesn't depend on the number of rows.
-BITS = 16
+BITS = 18
 SHARD = 1 << BITS
 #: A unit of level k is SHARD ** k milliseconds. Level 3 has one shard for all times on either side of 0.
 LEVELS = 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillstream.runtime import Workspace
@@ -46,17 +47,15 @@ def number_rows(rows: DataFrame, key: str, order: Sequence[str], after: int = 0)
     partition) come to the driver.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    placed = Workspace(rows.sparkSession, "numbers").put(placed)
-    counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets = {}
-    for p in sorted(counts):
-        offsets[p], after = after, after + counts[p]
-    if not offsets:
-        return rows.withColumn(key, F.lit(None).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("__p"))
+    space = Workspace(rows.sparkSession, "numbers")
+    placed = space.put(placed)
+    # One row a partition of the sort.
+    w = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    counts = space.put(placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")))
+    offsets = counts.select("__p", (F.coalesce(F.sum("__n").over(w), F.lit(0)) + after).alias("__before"))
     # Ids of a partition are consecutive from its first on.
     first = (F.col("__p").cast("long") * F.lit(1 << 33)).cast("long")
-    return placed.withColumn(key, (offset + F.col("__i") - first + 1).cast("long")).drop("__p", "__i")
+    return placed.join(offsets, "__p").withColumn(key, (F.col("__before") + F.col("__i") - first + 1).cast("long")).drop("__p", "__i", "__before")
 
 
 def next_ids(rows: DataFrame, existing: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

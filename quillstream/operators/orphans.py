@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from quillstream.operators.versions import key_history
 
-#: The HOT_KEYS parent keys referred to most are each spread over SALTS
-#: partitions, if more than HOT_ROWS rows refer to them. A key that isn't among
-#: them has at most 1 / HOT_KEYS of all references, and the list of them is
-#: small enough to broadcast at any input size.
-HOT_KEYS, HOT_ROWS, SALTS = 1_000, 5_000, 32
+#: A parent key is hot if more than HOT_ROWS references name it, and more than
+#: one in HOT_KEYS of all; so fewer than HOT_KEYS keys are hot at any input
+#: size, which bounds the list that is broadcast. A hot key is spread over as
+#: many partitions as it has such shares.
+HOT_KEYS, HOT_ROWS = 100_000, 5_000
 
 
 def references(df: DataFrame, child_table: str, key: str, pointer: str, *, loaded_at: str = "loaded_at", deleted_at: str | None = None) -> DataFrame:
@@ -45,21 +45,25 @@ def find_orphans(refs: DataFrame, parents: DataFrame, pointers: DataFrame | None
     Empty tables give no rows; with no parents every reference is missing.
 
     Hot parent keys: a count of references by key (combined before its shuffle)
-    gives the keys above the threshold; their references are salted and their
-    parent rows repeated once a salt, so no partition gets a whole hot key.
+    gives the keys above the threshold; their references are salted by that
+    count and their parent rows repeated once a salt, so no partition gets more
+    of a key than the threshold. All rows are counted first (of a written table
+    from its footers).
     """
-    counts = (refs if pointers is None else pointers).groupBy("pointer").agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(counts.filter((F.col("n") > HOT_ROWS) & F.col("pointer").isNotNull()).orderBy(F.desc("n"), "pointer").limit(HOT_KEYS).select(F.col("pointer").alias("hot_key")))
+    raw = refs if pointers is None else pointers
+    share = max(HOT_ROWS, -(-raw.count() // HOT_KEYS))
+    counts = raw.filter(F.col("pointer").isNotNull()).groupBy("pointer").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(F.col("pointer").alias("hot_key"), F.ceil(F.col("n") / share).cast("int").alias("salts")))
     salted = refs.join(hot, refs["pointer"] == hot["hot_key"], "left").withColumn(
-        "salt", F.when(F.col("hot_key").isNotNull(), F.pmod(F.xxhash64("child_key"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        "salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("child_key"), F.col("salts"))).otherwise(F.lit(0)).cast("int")
     )
     held = (
         parents.select(F.col("key").alias("parent_key"), F.col("first_at").alias("parent_first_at"), "is_deleted")
         .join(hot, F.col("parent_key") == F.col("hot_key"), "left")
-        .withColumn("parent_salt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("hot_key")
+        .withColumn("parent_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        .drop("hot_key", "salts")
     )
-    merged = salted.drop("hot_key").join(held.hint("merge"), (F.col("pointer") == F.col("parent_key")) & (F.col("salt") == F.col("parent_salt")), "left")
+    merged = salted.drop("hot_key", "salts").join(held.hint("merge"), (F.col("pointer") == F.col("parent_key")) & (F.col("salt") == F.col("parent_salt")), "left")
     kind = (
         F.when(F.col("parent_key").isNull(), "missing").when(F.col("is_deleted"), "deleted").when(F.col("parent_first_at") > F.col("first_at"), "late")
     )

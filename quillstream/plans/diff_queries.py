@@ -58,8 +58,8 @@ def roman_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest language each tool knows, for every node (GRF-01..08)."""
-    n = G.nearest_supported(table(spark, sf_dir, "languages"), "id", "parent_id", TOOLS, 8)
+    """Nearest language each tool knows, for every node (GRF-01..05)."""
+    n = G.nearest_supported(table(spark, sf_dir, "languages"), "id", "parent_id", TOOLS)
     return n.select("node_id", "tool", "found_id", F.col("distance").cast("long").alias("distance"))
 
 
@@ -77,7 +77,7 @@ def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tokens(spark, sf_dir, "script_id", "ttype", "word_begin_ts", "word_end_ts").filter("ttype = 'W' and word_end_ts > 0 and not isnan(word_end_ts) and script_id is not null")
     c = w.groupBy("script_id").agg(F.min("word_begin_ts").alias("script_begin_ts"), F.max("word_end_ts").alias("script_end_ts"))
     out = M.keyed_update(lines(spark, sf_dir, "script_begin_ts", "script_end_ts"), c, ["script_id"], ["script_begin_ts", "script_end_ts"])
-    return out.select("script_id", F.round("script_begin_ts", 6).alias("script_begin_ts"), F.round("script_end_ts", 6).alias("script_end_ts"))
+    return out.select("script_id", "script_begin_ts", "script_end_ts")
 
 
 def update_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ ORACLE = {
     "pair_lengths": sql(f"SELECT script_id, length({_CLEAN.format('script_text')}) AS base_len, length({_CLEAN.format('heard')}) AS comp_len FROM s JOIN (SELECT script_id, string_agg(coalesce(word, ''), '' ORDER BY word_seq, word_id) AS heard FROM w WHERE script_id IS NOT NULL GROUP BY script_id) USING (script_id) WHERE script_text IS NOT NULL"),
     "nearest_node": "WITH RECURSIVE up AS (SELECT id AS node_id, id AS anc, parent_id, 0 AS d FROM languages UNION ALL SELECT node_id, l.id, l.parent_id, d + 1 FROM up JOIN languages l ON l.id = up.parent_id), has AS (UNPIVOT (SELECT id AS found_id, espeak, mms_asr, mms_lid, mms_tts, whisper FROM languages) ON espeak, mms_asr, mms_lid, mms_tts, whisper INTO NAME tool VALUE code), p AS (SELECT a.node_id, tool, found_id, min(a.d + b.d) AS distance FROM up a JOIN up b USING (anc) JOIN has ON has.found_id = b.node_id WHERE code <> '' GROUP BY ALL) SELECT node_id, tool, found_id, distance FROM p QUALIFY distance = min(distance) OVER (PARTITION BY node_id, tool)",
     "upsert_lines": sql("SELECT script_id, dataset_id, CASE WHEN verse_str <> '0' THEN 'new' ELSE 'old' END AS state, verse_str FROM s"),
-    "keyed_update": sql("SELECT script_id, round(coalesce(b, script_begin_ts), 6) AS script_begin_ts, round(coalesce(e, script_end_ts), 6) AS script_end_ts FROM s LEFT JOIN (SELECT script_id, min(word_begin_ts) AS b, max(word_end_ts) AS e FROM w WHERE ttype = 'W' AND word_end_ts > 0 AND NOT isnan(word_end_ts) AND script_id IS NOT NULL GROUP BY script_id) USING (script_id)"),
+    "keyed_update": sql("SELECT script_id, coalesce(b, script_begin_ts) AS script_begin_ts, coalesce(e, script_end_ts) AS script_end_ts FROM s LEFT JOIN (SELECT script_id, min(word_begin_ts) AS b, max(word_end_ts) AS e FROM w WHERE ttype = 'W' AND word_end_ts > 0 AND NOT isnan(word_end_ts) AND script_id IS NOT NULL GROUP BY script_id) USING (script_id)"),
     "update_misses": sql("SELECT script_id, count(*) AS n_words FROM w WHERE script_id IS NOT NULL AND script_id NOT IN (SELECT script_id FROM s) GROUP BY script_id"),
     "cascaded_words": sql("SELECT dataset_id, count(*) AS n_words FROM w WHERE script_id IN (SELECT script_id FROM s) GROUP BY dataset_id"),
     "merged_headers": "SELECT dataset_id, coalesce(nullif(asr_language_iso, ''), language_iso) AS language_iso, version_code FROM ident",

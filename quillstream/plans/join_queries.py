@@ -100,15 +100,14 @@ def line_word_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lines(spark, sf_dir, "dataset_id", "book_id", "chapter_num", "verse_str", "audio_file")
     w = tokens(spark, sf_dir, "script_id", "word_seq", "ttype", "word")
     out = J.line_word_char(s, w, letters(spark, sf_dir))
-    return out.select("char_id", "word_id", "script_id", "dataset_id", "book_id", _long("chapter_num"), "verse_str", _long("word_seq"), "word", _long("seq"), F.round("start_ts", 6).alias("start_ts"), F.round("end_ts", 6).alias("end_ts"))
+    return out.select("char_id", "word_id", "script_id", "dataset_id", "book_id", _long("chapter_num"), "verse_str", _long("word_seq"), "word", _long("seq"), "start_ts", "end_ts")
 
 
 def word_with_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with times and scores of word and line (JOI-02..04, JOI-06)."""
     s = lines(spark, sf_dir, "script_num", "script_begin_ts", "script_end_ts", "fa_score").withColumnRenamed("fa_score", "line_score")
     w = tokens(spark, sf_dir, "script_id", "ttype", "word", "word_begin_ts", "word_end_ts", "fa_score").filter("ttype = 'W'")
-    six = lambda c: F.round(c, 6).alias(c)
-    return w.join(s, "script_id").select("word_id", "script_id", "script_num", "word", six("word_begin_ts"), six("word_end_ts"), six("fa_score"), six("script_begin_ts"), six("script_end_ts"), six("line_score"))
+    return w.join(s, "script_id").select("word_id", "script_id", "script_num", "word", "word_begin_ts", "word_end_ts", "fa_score", "script_begin_ts", "script_end_ts", "line_score")
 
 
 def word_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +145,7 @@ def version_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["pair_id", "book_id", "chapter_num", "verse_str"]
     base, comp = (d.groupBy(*keys).agg(F.min_by("script_begin_ts", "script_id").alias("ts"), F.min_by("script_text", "script_id").alias("text")) for d in _versions(spark, sf_dir, *cols))
     p = J.paired(base, comp, keys, ["ts", "text"])
-    return p.select("pair_id", "book_id", _long("chapter_num"), "verse_str", "in_base", "in_comp", F.round(J.first_known(F.col("base_ts"), F.col("comp_ts")), 6).alias("begin_ts"), F.coalesce("base_text", F.lit("")).alias("base_text"), F.coalesce("comp_text", F.lit("")).alias("comp_text"))
+    return p.select("pair_id", "book_id", _long("chapter_num"), "verse_str", "in_base", "in_comp", J.first_known(F.col("base_ts"), F.col("comp_ts")).alias("begin_ts"), F.coalesce("base_text", F.lit("")).alias("base_text"), F.coalesce("comp_text", F.lit("")).alias("comp_text"))
 
 
 def number_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +200,7 @@ def line_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lines(spark, sf_dir, "dataset_id", "audio_file").filter("audio_file <> ''").join(cue, "script_id", "left")
     w = W.partitionBy("dataset_id", "audio_file").orderBy("script_id")
     around = F.coalesce(F.col("cue"), F.last("cue", True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first("cue", True).over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(-1.0))
-    return t.select("script_id", F.round(F.coalesce("cue", F.lit(-1.0)), 6).alias("cue"), F.round(around, 6).alias("filled"))
+    return t.select("script_id", F.coalesce("cue", F.lit(-1.0)).alias("cue"), around.alias("filled"))
 
 
 def range_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,13 +274,13 @@ ORACLE = {
     "testament_lines": sql("SELECT script_id, dataset_id, book_id, chapter_num, verse_str, seq FROM s LEFT JOIN books USING (book_id) WHERE testament IS NULL OR testament = 'NT'"),
     "pruned_lines": sql("SELECT * FROM keep", _KEEP),
     "line_states": sql(f"SELECT dataset_id, CASE WHEN coalesce(verse_num > 0, false) THEN CASE WHEN {_KNOWN.format('script_end_ts')} THEN 'both' ELSE 'verse only' END WHEN {_KNOWN.format('script_end_ts')} THEN 'times only' ELSE 'neither' END AS state, count(*) AS n_lines FROM s GROUP BY ALL"),
-    "line_word_char": sql("SELECT char_id, word_id, script_id, s.dataset_id, book_id, chapter_num, verse_str, word_seq, word, seq, round(start_ts, 6) AS start_ts, round(end_ts, 6) AS end_ts FROM c JOIN w USING (word_id) JOIN s USING (script_id) WHERE ttype = 'W'"),
-    "word_with_line": sql("SELECT word_id, script_id, script_num, word, round(word_begin_ts, 6) AS word_begin_ts, round(word_end_ts, 6) AS word_end_ts, round(w.fa_score, 6) AS fa_score, round(script_begin_ts, 6) AS script_begin_ts, round(script_end_ts, 6) AS script_end_ts, round(s.fa_score, 6) AS line_score FROM w JOIN s USING (script_id) WHERE ttype = 'W'"),
+    "line_word_char": sql("SELECT char_id, word_id, script_id, s.dataset_id, book_id, chapter_num, verse_str, word_seq, word, seq, start_ts, end_ts FROM c JOIN w USING (word_id) JOIN s USING (script_id) WHERE ttype = 'W'"),
+    "word_with_line": sql("SELECT word_id, script_id, script_num, word, word_begin_ts, word_end_ts, w.fa_score, script_begin_ts, script_end_ts, s.fa_score AS line_score FROM w JOIN s USING (script_id) WHERE ttype = 'W'"),
     "word_letters": sql("SELECT dataset_id, letter, count(*) AS n FROM (SELECT s.dataset_id, unnest(string_split(lower(word), '')) AS letter FROM w JOIN s USING (script_id) WHERE ttype IN ('W', 'S') AND word <> '') GROUP BY ALL").replace("string_split(lower(word), '')", "regexp_extract_all(lower(word), '(?s).')"),
     "words_with_features": sql("SELECT word_id, script_id, coalesce(n_rows, 0) AS n_rows, coalesce(n_cols, 0) AS n_cols, coalesce(len(mfcc), 0) AS frames FROM w JOIN (SELECT script_id FROM s) USING (script_id) LEFT JOIN (SELECT word_id, n_rows, n_cols, mfcc FROM m) USING (word_id) WHERE ttype = 'W'"),
     "line_text_from_words": sql("SELECT script_id, script_text, coalesce(heard, '') AS heard FROM s LEFT JOIN (SELECT script_id, string_agg(coalesce(word, ''), '' ORDER BY word_seq, word_id) AS heard FROM w WHERE script_id IS NOT NULL GROUP BY script_id) USING (script_id)"),
     "version_pairs": sql(
-        "SELECT pair_id, book_id, chapter_num, verse_str, a.script_id IS NOT NULL AS in_base, b.script_id IS NOT NULL AS in_comp, round(CASE WHEN a.script_begin_ts <> 0 AND NOT isnan(a.script_begin_ts) THEN a.script_begin_ts WHEN b.script_begin_ts <> 0 AND NOT isnan(b.script_begin_ts) THEN b.script_begin_ts ELSE 0 END, 6) AS begin_ts, coalesce(a.script_text, '') AS base_text, coalesce(b.script_text, '') AS comp_text FROM a FULL JOIN b USING (pair_id, book_id, chapter_num, verse_str)",
+        "SELECT pair_id, book_id, chapter_num, verse_str, a.script_id IS NOT NULL AS in_base, b.script_id IS NOT NULL AS in_comp, (CASE WHEN a.script_begin_ts <> 0 AND NOT isnan(a.script_begin_ts) THEN a.script_begin_ts WHEN b.script_begin_ts <> 0 AND NOT isnan(b.script_begin_ts) THEN b.script_begin_ts ELSE 0 END) AS begin_ts, coalesce(a.script_text, '') AS base_text, coalesce(b.script_text, '') AS comp_text FROM a FULL JOIN b USING (pair_id, book_id, chapter_num, verse_str)",
         _V + ", f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY dataset_id, book_id, chapter_num, verse_str ORDER BY script_id) = 1), a AS (SELECT * FROM f WHERE is_base), b AS (SELECT * FROM f WHERE NOT is_base)",
     ),
     "number_left_join": sql("SELECT pair_id, script_num, script_id, coalesce(base_id, 0) AS base_id FROM (SELECT * FROM v WHERE NOT is_base AND audio_file <> '') LEFT JOIN (SELECT pair_id, script_num, max(script_id) AS base_id FROM v WHERE is_base GROUP BY ALL) USING (pair_id, script_num)", _V),
@@ -291,7 +290,7 @@ ORACLE = {
     "nth_word": sql("SELECT script_id, word_id, word FROM w WHERE ttype = 'W' AND script_id IN (SELECT script_id FROM s WHERE dataset_id IN (SELECT dataset_id FROM run_settings)) QUALIFY row_number() OVER (PARTITION BY script_id ORDER BY word_seq, word_id) = 3"),
     "language_lookup": "SELECT dataset_id, language_iso AS code, coalesce(a.id, b.id) AS node_id, CASE WHEN a.id IS NOT NULL THEN 'iso639_3' WHEN b.id IS NOT NULL THEN 'iso639_1' END AS found_by FROM ident LEFT JOIN (SELECT iso639_3, min(id) AS id FROM languages WHERE iso639_3 <> '' GROUP BY ALL) a ON a.iso639_3 = language_iso LEFT JOIN (SELECT iso639_1, min(id) AS id FROM languages WHERE iso639_1 <> '' GROUP BY ALL) b ON b.iso639_1 = language_iso",
     "line_cues": sql(
-        "SELECT script_id, round(coalesce(cue, -1), 6) AS cue, round(coalesce(cue, last_value(cue IGNORE NULLS) OVER (PARTITION BY dataset_id, audio_file ORDER BY script_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(cue IGNORE NULLS) OVER (PARTITION BY dataset_id, audio_file ORDER BY script_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1), 6) AS filled FROM t",
+        "SELECT script_id, coalesce(cue, -1) AS cue, coalesce(cue, last_value(cue IGNORE NULLS) OVER (PARTITION BY dataset_id, audio_file ORDER BY script_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(cue IGNORE NULLS) OVER (PARTITION BY dataset_id, audio_file ORDER BY script_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1) AS filled FROM t",
         f"q AS (SELECT script_id, min(word_begin_ts) AS cue FROM w WHERE ttype = 'W' AND {_KNOWN.format('word_begin_ts')} GROUP BY script_id), t AS (SELECT script_id, dataset_id, audio_file, cue FROM s LEFT JOIN q USING (script_id) WHERE audio_file <> '')",
     ),
     "range_members": sql("SELECT script_id, (verse_num - 1) // 10 AS run, min(verse_num) OVER g AS from_verse, max(verse_num) OVER g AS to_verse FROM s WHERE verse_num > 0 WINDOW g AS (PARTITION BY dataset_id, book_id, chapter_num, (verse_num - 1) // 10)"),

@@ -57,16 +57,33 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def read(self, name: str) -> DataFrame:
+        self._settle(name)
         return self.spark.read.parquet(f"{self.path}/{name}") if self.exists(name) else empty(self.spark, name)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """The new version is written beside the old one and takes its place when it is complete."""
+        """The new version is written beside the old one and takes its place when it is complete.
+
+        The old version is moved aside first and deleted last; if the job ends
+        in between, it is found there (see :meth:`_settle`).
+        """
+        self._settle(name)
         writers.write_table(df, f"{self.path}/_next_{name}")
         fs = self._where().getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(self._where(name), True)
+        if self.exists(name):
+            fs.rename(self._where(name), self._where(f"_old_{name}"))
         fs.rename(self._where(f"_next_{name}"), self._where(name))
+        fs.delete(self._where(f"_old_{name}"), True)
         return self.read(name)
 
+    def _settle(self, name: str) -> None:
+        """Ends a replacement that was interrupted: without a current version the old one comes back."""
+        fs = self._where().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if self.exists(f"_old_{name}"):
+            if self.exists(name):
+                fs.delete(self._where(f"_old_{name}"), True)
+            else:
+                fs.rename(self._where(f"_old_{name}"), self._where(name))
+
     def drop(self) -> None:
         self._where().getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(self._where(), True)
 

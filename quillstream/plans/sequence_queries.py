@@ -57,7 +57,7 @@ def score_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empirical quantiles of words' scores by dataset (AGG-05, AGG-07)."""
     w = tokens(spark, sf_dir, "dataset_id", "fa_score").filter(F.col("fa_score").isNotNull() & ~F.isnan("fa_score") & (F.col("fa_score") > 0))
     q = S.quantiles(w, ["dataset_id"], "fa_score")
-    return q.select("dataset_id", "p", _six(F.col("value"), "value"))
+    return q.select("dataset_id", "p", "value")
 
 
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def feature_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).select("word_id", F.posexplode("mfcc").alias("frame", "row")).select("word_id", "frame", F.posexplode("row").alias("coeff", "v"))
     f = f.withColumn("v", F.col("v").cast("double")).filter("v is not null")
     g = f.groupBy("coeff").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev"))
-    z = f.join(small_side(g), "coeff")
+    z = f.join(F.broadcast(g), "coeff")  # a row a coefficient, no more than one matrix row has values
     return z.select("word_id", _long("frame"), _long("coeff"), _six((F.col("v") - F.col("mean")) / F.nullif("dev", F.lit(0.0)), "z"))
 
 
@@ -97,7 +97,7 @@ def verse_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_seq", "word_id", "word"))), lambda r: r["word"]), " ").alias("text"),
         F.avg(score).alias("score"),
     )
-    return g.select("script_id", _six(F.col("b"), "begin_ts"), _six(F.col("e"), "end_ts"), "text", F.round("score", 9).alias("score"))
+    return g.select("script_id", F.col("b").alias("begin_ts"), F.col("e").alias("end_ts"), "text", F.round("score", 9).alias("score"))
 
 
 def word_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def word_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("end_ts").over(W.partitionBy("word_id").orderBy("char_id"))
     i = S.islands(c, ["word_id"], ["char_id"], before.isNull() | (before < F.col("start_ts") - 0.0005))
     g = i.groupBy("word_id", "island").agg(F.min("char_id").alias("first_char"), F.count(F.lit(1)).alias("n"), F.min_by("start_ts", "char_id").alias("b"), F.max_by("end_ts", "char_id").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_id", "uroman"))), lambda r: F.coalesce(r["uroman"], F.lit(""))), "").alias("text"))
-    return g.select("word_id", "island", "first_char", "n", _six(F.col("b"), "begin_ts"), _six(F.col("e"), "end_ts"), "text")
+    return g.select("word_id", "island", "first_char", "n", F.col("b").alias("begin_ts"), F.col("e").alias("end_ts"), "text")
 
 
 def latin_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +222,7 @@ def midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_begins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines' ends as the begin of the next line of the chapter (WIN-08, JOI-15)."""
     t = lines(spark, sf_dir, "dataset_id", "book_id", "chapter_num", "script_begin_ts").filter(F.col("script_begin_ts").isNotNull() & ~F.isnan("script_begin_ts"))
-    return t.select("script_id", _six(Q.next_begin(t, ["dataset_id", "book_id", "chapter_num"], ["script_id"], "script_begin_ts"), "end_ts"))
+    return t.select("script_id", Q.next_begin(t, ["dataset_id", "book_id", "chapter_num"], ["script_id"], "script_begin_ts").alias("end_ts"))
 
 
 def feature_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One range sort over all datasets, as a dataset may have a third of the lines.
     n = number_rows(t, "n", ["dataset_id", "seq", "chapter_num", "verse_num", "script_id"])
     first = n.groupBy("dataset_id").agg(F.min("n").alias("first"))
-    n = n.join(small_side(first), "dataset_id")
+    n = n.join(first, "dataset_id")
     return n.select("script_id", "dataset_id", F.coalesce("testament", F.lit("AP")).alias("testament"), (F.col("n") - F.col("first") + 1).alias("place"))
 
 
@@ -292,7 +292,7 @@ def cutoff_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words over the score at a tenth of their dataset's sorted scores (SRT-04, PRJ-24)."""
     w = tokens(spark, sf_dir, "dataset_id", "ttype", "fa_score").filter((F.col("ttype") == "W") & F.col("fa_score").isNotNull() & ~F.isnan("fa_score"))
     cut = S.quantiles(w, ["dataset_id"], "fa_score", [0.1]).select("dataset_id", F.col("value").alias("cutoff"))
-    return w.join(small_side(cut), "dataset_id").filter(F.col("fa_score") > F.col("cutoff")).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.first("cutoff"), 6).alias("cutoff"))
+    return w.join(cut, "dataset_id").filter(F.col("fa_score") > F.col("cutoff")).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.first("cutoff").alias("cutoff"))
 
 
 QUERIES = {
@@ -323,12 +323,12 @@ ORACLE = {
     "romanised_share": sql("SELECT dataset_id, sum(length(script_text))::BIGINT AS chars, sum(length(uroman))::BIGINT AS roman, sum(length(uroman)) * 1.2 >= sum(length(script_text)) AS complete FROM s GROUP BY dataset_id"),
     "score_classes": sql(f"SELECT CASE WHEN fa_score <= 0.0001 THEN 'critical' WHEN fa_score <= 0.001 THEN 'question' ELSE 'good' END AS score_class, count(*) AS n FROM c WHERE {_OK.format('fa_score')} GROUP BY ALL"),
     "score_stats": sql("SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stddev, round(min(x), 6) AS min, round(max(x), 6) AS max, round(skewness(x), 6) AS skew, round(kurtosis(x), 6) AS kurt FROM (SELECT -log10(fa_score) AS x FROM c WHERE fa_score > 0 AND NOT isnan(fa_score))"),
-    "score_quantiles": sql(f"SELECT dataset_id, p, round(min(x), 6) AS value FROM d, (VALUES {_QL[1:-1]}) AS v(p) WHERE upto >= ceil(p * total) GROUP BY dataset_id, p", "d AS (SELECT dataset_id, fa_score AS x, row_number() OVER (PARTITION BY dataset_id ORDER BY fa_score) AS upto, count(*) OVER (PARTITION BY dataset_id) AS total FROM w WHERE fa_score > 0 AND NOT isnan(fa_score))"),
+    "score_quantiles": sql(f"SELECT dataset_id, p, min(x) AS value FROM d, (VALUES {_QL[1:-1]}) AS v(p) WHERE upto >= ceil(p * total) GROUP BY dataset_id, p", "d AS (SELECT dataset_id, fa_score AS x, row_number() OVER (PARTITION BY dataset_id ORDER BY fa_score) AS upto, count(*) OVER (PARTITION BY dataset_id) AS total FROM w WHERE fa_score > 0 AND NOT isnan(fa_score))"),
     "score_histogram": sql("SELECT dataset_id, floor(round(-log10(fa_score), 6) * 10)::BIGINT AS bucket, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY dataset_id), 6) AS percent FROM w WHERE fa_score > 0 AND NOT isnan(fa_score) GROUP BY 1, 2"),
     "feature_frames": sql("SELECT word_id, frame - 1 AS frame, coeff - 1 AS coeff, round((v - avg(v) OVER (PARTITION BY coeff)) / nullif(stddev_pop(v) OVER (PARTITION BY coeff), 0), 6) AS z FROM (SELECT word_id, frame, unnest(r)::DOUBLE AS v, generate_subscripts(r, 1) AS coeff FROM (SELECT word_id, unnest(mfcc) AS r, generate_subscripts(mfcc, 1) AS frame FROM m)) WHERE v IS NOT NULL"),
     "padded_features": sql("SELECT word_id, greatest((SELECT max(n_rows) FROM m), len(mfcc))::BIGINT AS n_rows, round(coalesce(list_sum(list_transform(flatten(mfcc), lambda x: x::DOUBLE)), 0), 3) AS total FROM m"),
-    "verse_assembly": sql("SELECT script_id, round(nullif(arg_min(coalesce(word_begin_ts, -1), struct_pack(a := word_seq, b := word_id)), -1), 6) AS begin_ts, round(nullif(arg_max(coalesce(word_end_ts, -1), struct_pack(a := word_seq, b := word_id)), -1), 6) AS end_ts, string_agg(word, ' ' ORDER BY word_seq, word_id) AS text, round(avg(CASE WHEN NOT isnan(fa_score) THEN fa_score END), 9) AS score FROM w WHERE ttype = 'W' AND script_id IN (SELECT script_id FROM s) AND word IS NOT NULL GROUP BY script_id"),
-    "word_islands": sql("SELECT word_id, island, min(char_id) AS first_char, count(*) AS n, round(arg_min(start_ts, char_id), 6) AS begin_ts, round(arg_max(end_ts, char_id), 6) AS end_ts, string_agg(coalesce(uroman, ''), '' ORDER BY char_id) AS text FROM (SELECT *, sum(CASE WHEN prev IS NULL OR prev < start_ts - 0.0005 THEN 1 ELSE 0 END) OVER (PARTITION BY word_id ORDER BY char_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, lag(end_ts) OVER (PARTITION BY word_id ORDER BY char_id) AS prev FROM c WHERE word_id IN (SELECT word_id FROM w))) GROUP BY word_id, island"),
+    "verse_assembly": sql("SELECT script_id, nullif(arg_min(coalesce(word_begin_ts, -1), struct_pack(a := word_seq, b := word_id)), -1) AS begin_ts, nullif(arg_max(coalesce(word_end_ts, -1), struct_pack(a := word_seq, b := word_id)), -1) AS end_ts, string_agg(word, ' ' ORDER BY word_seq, word_id) AS text, round(avg(CASE WHEN NOT isnan(fa_score) THEN fa_score END), 9) AS score FROM w WHERE ttype = 'W' AND script_id IN (SELECT script_id FROM s) AND word IS NOT NULL GROUP BY script_id"),
+    "word_islands": sql("SELECT word_id, island, min(char_id) AS first_char, count(*) AS n, arg_min(start_ts, char_id) AS begin_ts, arg_max(end_ts, char_id) AS end_ts, string_agg(coalesce(uroman, ''), '' ORDER BY char_id) AS text FROM (SELECT *, sum(CASE WHEN prev IS NULL OR prev < start_ts - 0.0005 THEN 1 ELSE 0 END) OVER (PARTITION BY word_id ORDER BY char_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM (SELECT *, lag(end_ts) OVER (PARTITION BY word_id ORDER BY char_id) AS prev FROM c WHERE word_id IN (SELECT word_id FROM w))) GROUP BY word_id, island"),
     "latin_datasets": sql(r"SELECT dataset_id, coalesce(sum(length(regexp_replace(script_text, '[^\x{0000}-\x{024F}]', '', 'g'))) / nullif(sum(length(script_text)), 0) > 0.9, false) AS is_latin FROM s GROUP BY dataset_id"),
     "line_scores": sql("SELECT * FROM (SELECT script_id, arg_max(word_id, o) AS word_id, arg_max(n_bad, o) AS n_bad, round(arg_max(x * CASE WHEN n_bad >= n THEN 2 ELSE 1 END, o), 6) AS score FROM (SELECT *, struct_pack(a := n_bad, b := -word_id) AS o FROM (SELECT script_id, word_id, count(*) AS n, count(*) FILTER (c.fa_score <= 0.3 AND c.fa_score > 0) AS n_bad, sum(CASE WHEN c.fa_score <= 0.3 AND c.fa_score > 0 THEN -log10(c.fa_score) ELSE 0 END) AS x FROM c JOIN w USING (word_id) WHERE ttype = 'W' AND script_id IS NOT NULL AND c.fa_score IS NOT NULL AND NOT isnan(c.fa_score) GROUP BY script_id, word_id)) GROUP BY script_id) WHERE score > 0"),
     "vocabulary_letters": sql("SELECT dataset_id, letter, row_number() OVER (PARTITION BY dataset_id ORDER BY letter) AS id FROM (SELECT DISTINCT dataset_id, unnest(regexp_extract_all(nfc_normalize(lower(word)), '(?s).')) AS letter FROM w WHERE ttype = 'W' AND word <> '')"),
@@ -343,7 +343,7 @@ ORACLE = {
     "word_gaps": sql("SELECT * FROM q", _WGAPS),
     "widest_gaps": sql("SELECT script_id, arg_max(word_id, struct_pack(a := raised, b := -word_id)) AS word_id, max(raised) AS raised FROM q GROUP BY script_id ORDER BY raised DESC, script_id LIMIT 400", _WGAPS),
     "midpoints": sql(f"SELECT script_id, round(coalesce((script_begin_ts + lag(script_end_ts) OVER o) / 2, 0), 6) AS mid_begin, round(coalesce((lead(script_begin_ts) OVER o + script_end_ts) / 2, max(script_end_ts) OVER (PARTITION BY dataset_id, audio_file)), 6) AS mid_end FROM s WHERE audio_file <> '' AND {_OK.format('script_end_ts')} AND script_end_ts <> 0 AND {_OK.format('script_begin_ts')} WINDOW o AS (PARTITION BY dataset_id, audio_file ORDER BY script_begin_ts, script_id)"),
-    "next_begins": sql(f"SELECT script_id, round(coalesce(lead(script_begin_ts) OVER (PARTITION BY dataset_id, book_id, chapter_num ORDER BY script_id), 0), 6) AS end_ts FROM s WHERE {_OK.format('script_begin_ts')}"),
+    "next_begins": sql(f"SELECT script_id, coalesce(lead(script_begin_ts) OVER (PARTITION BY dataset_id, book_id, chapter_num ORDER BY script_id), 0) AS end_ts FROM s WHERE {_OK.format('script_begin_ts')}"),
     "feature_slices": sql(f"SELECT word_id, least(len(mfcc), greatest(floor(round((word_end_ts - word_begin_ts) / 2, 3) * 20 + 0.5), 0))::BIGINT AS n_frames FROM m JOIN w USING (word_id) WHERE {_OK.format('word_end_ts')} AND word_end_ts > word_begin_ts AND round((word_end_ts - word_begin_ts) / 2, 3) <> 0"),
     "headed_lines": sql(
         "SELECT dataset_id, book_id, chapter_num, script_id, kind, row_number() OVER (PARTITION BY dataset_id, book_id ORDER BY script_id, rank) AS line_no FROM (SELECT dataset_id, book_id, chapter_num, script_id, 2 AS rank, 'line' AS kind FROM p UNION ALL SELECT dataset_id, book_id, chapter_num, script_id, 0, 'title' FROM p WHERE prev IS NULL UNION ALL SELECT dataset_id, book_id, chapter_num, script_id, 1, 'heading' FROM p WHERE coalesce(prev, 1) <> chapter_num)",
@@ -356,5 +356,5 @@ ORACLE = {
     "canonical_order": sql("SELECT script_id, dataset_id, coalesce(testament, 'AP') AS testament, row_number() OVER (PARTITION BY dataset_id ORDER BY seq NULLS FIRST, chapter_num NULLS FIRST, verse_num NULLS FIRST, script_id) AS place FROM s LEFT JOIN books USING (book_id)"),
     "chapter_sequence": "SELECT book_id, testament, seq, coalesce(sum(chapters) OVER (PARTITION BY testament ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chapters_before FROM books",
     "invalid_vectors": "SELECT vec_id, len(embedding) AS width, len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 OR len(embedding) = 0 AS bad, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS square FROM embeddings",
-    "cutoff_samples": sql("SELECT dataset_id, count(*) AS n, round(any_value(cutoff), 6) AS cutoff FROM d JOIN k USING (dataset_id) WHERE fa_score > cutoff GROUP BY dataset_id", "d AS (SELECT dataset_id, fa_score, row_number() OVER (PARTITION BY dataset_id ORDER BY fa_score) AS upto, count(*) OVER (PARTITION BY dataset_id) AS total FROM w WHERE ttype = 'W' AND fa_score IS NOT NULL AND NOT isnan(fa_score)), k AS (SELECT dataset_id, min(fa_score) AS cutoff FROM d WHERE upto >= ceil(0.1::DOUBLE * total) GROUP BY dataset_id)"),
+    "cutoff_samples": sql("SELECT dataset_id, count(*) AS n, any_value(cutoff) AS cutoff FROM d JOIN k USING (dataset_id) WHERE fa_score > cutoff GROUP BY dataset_id", "d AS (SELECT dataset_id, fa_score, row_number() OVER (PARTITION BY dataset_id ORDER BY fa_score) AS upto, count(*) OVER (PARTITION BY dataset_id) AS total FROM w WHERE ttype = 'W' AND fa_score IS NOT NULL AND NOT isnan(fa_score)), k AS (SELECT dataset_id, min(fa_score) AS cutoff FROM d WHERE upto >= ceil(0.1::DOUBLE * total) GROUP BY dataset_id)"),
 }

@@ -2,7 +2,7 @@
 
 Every intermediate table goes to the folder all executors share
 (``spark.checkpoint.dir``); a folder of our own is used only when the session
-names none, as in tests.
+names none and runs in one JVM, as in tests.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Side tables are handed to broadcast() only after a count at or below this.
-BROADCAST_ROWS = 200_000
+#: Side tables are handed to broadcast() only at or below this estimate.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one made for this session."""
+    """The session's checkpoint folder, or one made for a local session. On a cluster the setting is needed."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("quillstream.scratch.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("quillstream.scratch.dir", where)
     return where.rstrip("/")
@@ -70,10 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows.
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if Spark's own size estimate, which no filter exceeds, is at most ``limit``.
 
-    The count stops after ``limit`` + 1 rows. A larger table comes back without
-    a hint, and Spark joins it by shuffle.
+    Nothing is executed. Without a hint the join is left to Spark, which sees
+    the real sizes once the sides are shuffled.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df

@@ -100,13 +100,23 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", **options) -> s
 
 
 def html_report(df: DataFrame, title: str, columns: Sequence[str], path: str, raw: Sequence[str] = ()) -> str:
-    """A report page, written row by row so that the driver holds one partition at most (SNK-10, SNK-11, SNK-19)."""
+    """A report page on any file system, written row by row so that the driver holds one partition at most (SNK-10, SNK-11, SNK-19)."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
     safe = lambda x: "" if x is None else str(x).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"<!doctype html><meta charset=utf-8><title>{safe(title)}</title><h1>{safe(title)}</h1><table><tr>{''.join(f'<th>{safe(c)}</th>' for c in columns)}</tr>\n")
+    put = lambda text: out.write(bytearray(text, "utf-8"))
+    try:
+        put(f"<!doctype html><meta charset=utf-8><title>{safe(title)}</title><h1>{safe(title)}</h1><table><tr>{''.join(f'<th>{safe(c)}</th>' for c in columns)}</tr>\n")
+        lines: list[str] = []
         for r in df.select(*columns).toLocalIterator():
-            f.write("<tr>" + "".join(f"<td>{(r[c] or '') if c in raw else safe(r[c])}</td>" for c in columns) + "</tr>\n")
-        f.write("</table>\n")
+            lines.append("<tr>" + "".join(f"<td>{(r[c] or '') if c in raw else safe(r[c])}</td>" for c in columns) + "</tr>\n")
+            if len(lines) == 1_000:
+                put("".join(lines))
+                lines.clear()
+        put("".join(lines) + "</table>\n")
+    finally:
+        out.close()
     return path
 
 

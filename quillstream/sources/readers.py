@@ -23,17 +23,54 @@ from pyspark.sql import types as T
 from quillstream.functions import text as X
 from quillstream.runtime import small_side
 
-# Other spellings of columns and codes in source files.
+# Names of columns in source files, in lower case.
 COLUMN_NAMES = {
-    "book_id": ("book_id", "book"), "chapter_num": ("chapter", "chapter_num", "cp"), "verse_str": ("verse", "verse_number", "verse_start", "verse_str", "vs"),
-    "script_num": ("line_number", "line id:", "line", "line #", "line number"), "script_text": ("text", "transcribed_text", "target language", "verse_text", "script_text"),
-    "person": ("character", "person"), "actor": ("reader", "actor"),
+    "book_id": ("book_id", "book", "bk", "book name abbr"),
+    "chapter_num": ("chapter", "chapter_num", "cp", "chapter number"),
+    "verse_str": ("verse", "verse_number", "start verse number", "verse_start", "verse_str", "vs"),
+    "script_num": ("line_number", "line id:", "line", "line #", "line number"),
+    "script_text": ("text", "transcribed_text", "target language", "verse_content1", "verse_text", "script_text"),
+    "person": ("character", "characters1", "character group", "person"),
+    "actor": ("reader", "reader name", "actor"),
+}
+# Book codes found in file names and sources, and the codes meant.
+BOOK_CODES = {
+    "PSM": "PSA", "PRV": "PRO", "SOS": "SNG", "EZE": "EZK", "JOE": "JOL", "NAH": "NAM", "MRC": "MRK", "LUC": "LUK", "JUA": "JHN", "HEC": "ACT", "EFE": "EPH",
+    "FHP": "PHP", "1TE": "1TH", "2TE": "2TH", "TTO": "TIT", "TTL": "TIT", "TTS": "TIT", "FHM": "PHM", "JMS": "JAS", "SNT": "JAS", "APO": "REV",
 }
-BOOK_CODES = {"JMS": "JAS", "TTS": "TIT", "TTL": "TIT"}
-#: Character and paragraph styles whose text isn't part of the script, without a trailing digit.
-SKIPPED_STYLES = frozenset("f fe fr ft fk fq fqa fl fv fm x xo xk xq xt xta id ide rem h toc toca r mr sr rq cl cp cd fig va vp ca sts usfm restore".split())
-#: Paragraph styles of titles.
-TITLE_STYLES = frozenset("mt imt s ms".split())
+# Styles whose text is part of the script, by kind of element, without a trailing digit.
+KEPT_STYLES = {
+    "para": (
+        "h", "mt",
+        "p", "m", "po", "pr", "cls", "pmo", "pm", "pmc", "pmr", "pi", "mi", "pc", "ph", "lit", "nb", "pb",
+        "q", "qr", "qc", "qm",
+        "lh", "li", "lf", "lim", "litl",
+    ),
+    "row": ("tr",),
+    "cell": ("th", "thr", "tc", "tcr"),
+    "char": (
+        "bk", "k", "litl", "nd", "ord", "pn", "png", "qac", "qs", "qt", "sig", "sls", "tl", "wj",
+        "em", "bd", "bdit", "it", "no", "sc", "sup",
+        "rb", "pro", "w", "wg", "wh", "wa",
+        "lik", "liv", "jmp",
+    ),
+}
+# Styles whose text isn't part of the script.
+DROPPED_STYLES = {
+    "para": (
+        "ide", "toc", "toca", "rem", "usfm",
+        "imt", "is", "ip", "ipi", "im", "imi", "ipq", "imq", "ipr", "iq", "ib", "ili", "iot", "io", "iex", "imte", "ie",
+        "mte", "cl", "cd", "ms", "mr", "s", "sr", "r", "d", "sp", "sd",
+        "cp", "restore", "qa", "qd", "b",
+    ),
+    "char": ("va", "vp", "ca", "add", "addnp", "dc", "ior", "iqt", "rq", "fig"),
+    "note": ("f", "fe", "ef", "x", "xt", "ex"),
+    "sidebar": ("esb",),
+    "figure": ("fig",),
+    "ms": ("qt", "ts"),
+}
+#: Paragraph styles of titles, each a row of its own.
+TITLE_STYLES = frozenset({"h", "mt"})
 
 LINES = T.StructType([T.StructField(n, t) for n, t in (
     ("path", T.StringType()), ("pos", T.IntegerType()), ("book_id", T.StringType()), ("chapter_num", T.IntegerType()), ("verse_str", T.StringType()),
@@ -42,12 +79,23 @@ LINES = T.StructType([T.StructField(n, t) for n, t in (
 
 
 def book_code(book: Column) -> Column:
-    """Upper-case code with known misspellings repaired (SET-03, SET-04)."""
+    """Upper-case code with known misspellings repaired (SET-04)."""
     code = F.upper(F.trim(book))
     known = F.create_map(*[F.lit(x) for kv in BOOK_CODES.items() for x in kv])
     return F.coalesce(F.try_element_at(known, code), code)
 
 
+def named_books(rows: DataFrame, names: DataFrame, name: str = "book_name") -> DataFrame:
+    """``rows`` with ``book_id`` for the book's name by a table of names (book_name, book_id); NULL for an unknown one (SET-03).
+
+    Names compare without case, blanks and underscores; a name that stands for
+    several books takes the smallest code.
+    """
+    plain = lambda c: F.regexp_replace(F.upper(c), r"[\s_]+", "")
+    known = names.groupBy(plain(F.col("book_name")).alias("__plain")).agg(F.min("book_id").alias("book_id"))
+    return rows.withColumn("__plain", plain(F.col(name))).join(known, "__plain", "left").drop("__plain")
+
+
 def _renamed(df: DataFrame, required: Sequence[str]) -> DataFrame:
     have = {c.strip().lower(): c for c in df.columns}
     out = {}
@@ -90,79 +138,104 @@ def read_json_lines(spark: SparkSession, path: str | list[str], books: DataFrame
     return d.select("seq", "book_id", F.col("chapter").alias("chapter_num"), verse.alias("verse_str"), F.col("verse_start").alias("verse_num"), n.cast("string").alias("script_num"), text.alias("script_text"))
 
 
-def _keep(style: str) -> bool:
-    return re.sub(r"[0-9]$", "", style) not in SKIPPED_STYLES
+def _base(style: str) -> str:
+    """A style without one trailing digit (SRC-11)."""
+    return style[:-1] if style[-1:].isdigit() else style
+
+
+def _kinds() -> dict[str, tuple[str, bool]]:
+    """Kind and use of each style code; where two kinds share a code, the inner one of running text (SRC-10)."""
+    out: dict[str, tuple[str, bool]] = {}
+    for table, keep in ((DROPPED_STYLES, False), (KEPT_STYLES, True)):
+        for kind, codes in table.items():
+            out |= {c: (kind, keep) for c in codes}
+    return out
+
+
+_KINDS = _kinds()
+
+
+def kept_style(kind: str, style: str) -> bool:
+    """Whether text of an element of this kind and style is part of the script; unknown styles aren't."""
+    return _base(style) in KEPT_STYLES.get(kind, ())
+
+
+def _body(parts: list[str]) -> str:
+    # Braces would be taken for verse marks.
+    return re.sub(r"\s+", " ", "".join(parts)).strip().replace("{", "(").replace("}", ")")
 
 
 def usfm_rows(text: str) -> Iterator[tuple[str, int, str, str, str, str]]:
-    """(book, chapter, verse, verse end, style, text) of backslash-marked text (SRC-08..11)."""
+    """(book, chapter, verse, verse end, style, text) of backslash-marked text (SRC-08..11).
+
+    A title is a row of its own. What follows a paragraph style that isn't part
+    of the script is left out until the next paragraph, verse or chapter; what
+    stands in such a character style or note, until its end mark.
+    """
     book, chapter, verse, style = "", 1, "0", "para.p"
     parts: list[str] = []
     skip: list[str] = []
-    line_skip, expect, name_before = False, "", ""
+    para_skip, expect = False, ""
+    closed = set(re.findall(r"\\\+?([A-Za-z]+[0-9]?)\*", text))  # of an unknown style: whether it has an end mark
 
     def flush():
-        body = re.sub(r"\s+", " ", "".join(parts)).strip()
+        body = _body(parts)
         parts.clear()
         if body:
-            yield book, chapter, verse, verse.split("-")[-1], style, body.replace("{", "(").replace("}", ")")
+            yield book, chapter, verse, verse.split("-")[-1], style, body
 
     for m in re.finditer(r"\\(\+?[A-Za-z]+[0-9]?)(\*?)|([^\\]+)|\\", text):
         name, close, plain = m.group(1), m.group(2), m.group(3)
         if plain is not None:
-            if line_skip:
-                head, nl, tail = plain.partition("\n")
-                if name_before == "id":
-                    book = (head.split() or [""])[0].upper()[:3]
-                line_skip = not nl
-                plain = "\n" + tail if nl else ""
             if expect and plain.strip():
                 first = re.match(r"\s*(\S+)", plain)
                 value, plain = first.group(1), plain[first.end() :]
-                if expect == "c":
+                if expect == "id":
+                    book, plain = value.upper()[:3], ""
+                elif expect == "c":
                     chapter, verse = int(re.match(r"\d*", value).group() or 0), "0"
                 else:
                     verse = value
                 expect = ""
-            if not skip:
+            if not skip and not para_skip:
                 parts.append(plain)
             continue
         if name is None:
             continue
         name = name.lstrip("+")
+        kind, keep = _KINDS.get(_base(name), ("char" if name in closed else "para", False))
         expect = ""
         if close:
             if name in skip:  # what was opened inside ends with it
                 del skip[skip.index(name) :]
-            continue
-        name_before = name
-        if name in ("c", "v"):
+        elif name in ("id", "c", "v"):
             yield from flush()
-            skip, line_skip, expect = [], False, name
-        elif not _keep(name):
-            if name in ("f", "fe", "x", "fig", "va", "vp", "ca") or skip:
-                skip.append(name)
-            else:
-                line_skip = True
-        elif re.sub(r"[0-9]$", "", name) in TITLE_STYLES | {"p", "m", "q", "pi", "nb", "b", "d", "li", "pc", "qr", "qc"}:
-            if verse == "0" or re.sub(r"[0-9]$", "", name) in TITLE_STYLES:
+            skip, para_skip, expect = [], name == "id", name
+        elif skip:
+            skip.append(name)
+        elif kind in ("para", "row"):
+            if verse == "0" or _base(name) in TITLE_STYLES or style[5:] in TITLE_STYLES:
                 yield from flush()
-            style = f"para.{name}"
-            parts.append(" ")
+            para_skip = not keep
+            if keep:
+                style = f"para.{name}"
+                parts.append(" ")
+        elif not keep:
+            skip.append(name)
     yield from flush()
 
 
 def usx_rows(content: bytes) -> Iterator[tuple[str, int, str, str, str, str]]:
-    """The same of USX (SRC-07): markers set the place, subtrees of other styles are skipped, order of mixed content is kept."""
+    """The same of USX (SRC-07): markers set the place, subtrees of styles outside of the script are skipped, order of mixed content is kept."""
     book, chapter, verse, style = "", 1, "0", "para.p"
     parts: list[str] = []
     out: list[tuple[str, int, str, str, str, str]] = []
 
     def flush():
-        body = re.sub(r"\s+", " ", "".join(parts)).strip()
+        body = _body(parts)
         parts.clear()
         if body:
-            out.append((book, chapter, verse, verse.split("-")[-1], style, body.replace("{", "(").replace("}", ")")))
+            out.append((book, chapter, verse, verse.split("-")[-1], style, body))
 
     def walk(e):
         nonlocal book, chapter, verse, style
@@ -177,11 +250,9 @@ def usx_rows(content: bytes) -> Iterator[tuple[str, int, str, str, str, str]]:
                     chapter, verse = int(re.match(r"\d*", number).group() or 0), "0"
                 else:
                     verse = number
-        elif kind == "note" or (own and not _keep(own)):
-            pass
-        else:
-            if kind == "para":
-                if verse == "0" or re.sub(r"[0-9]$", "", own) in TITLE_STYLES:
+        elif kind not in ("para", "char", "cell", "row", "ms", "note", "sidebar", "figure") or kind == "row" or kept_style(kind, own):
+            if kind in ("para", "row"):
+                if verse == "0" or _base(own) in TITLE_STYLES or style[5:] in TITLE_STYLES:
                     flush()
                 style = f"para.{own}"
                 parts.append(" ")
@@ -196,6 +267,13 @@ def usx_rows(content: bytes) -> Iterator[tuple[str, int, str, str, str, str]]:
     return iter(out)
 
 
+def unknown_styles(text: Column) -> Column:
+    """Distinct style codes of marked text that are in neither table, as the warning names them (SRC-11)."""
+    codes = F.transform(F.regexp_extract_all(text, F.lit(r"\\([A-Za-z]+[0-9]?)"), F.lit(1)), lambda c: F.regexp_replace(c, "[0-9]$", ""))
+    known = F.array(*[F.lit(c) for c in (*sorted(_KINDS), "id", "c", "v")])
+    return F.array_sort(F.array_distinct(F.array_except(codes, known)))
+
+
 def _cell_column(ref: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]+", ref).group():
@@ -253,12 +331,25 @@ def read_usx(spark: SparkSession, path: str | list[str], glob: str = "*.{usx,zip
 
 
 def read_xlsx(spark: SparkSession, path: str | list[str], glob: str = "*.{xlsx,xlsm}") -> DataFrame:
-    """Script workbooks with any of the known headers, read by the data source ``quill_xlsx`` (SRC-06)."""
-    from quillstream.sources.xlsx import XlsxDataSource
+    """Script workbooks with any of the known headers; each is parsed where it is read, from any file system (SRC-06)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path if isinstance(path, str) else list(path)).select("path", "content")
+    names = list(COLUMN_NAMES)
+    schema = T.StructType([T.StructField("path", T.StringType()), *[T.StructField(c, T.StringType()) for c in names]])
 
-    spark.dataSource.register(XlsxDataSource)
-    rows = spark.read.format("quill_xlsx").option("glob", glob).load(path)
-    return line_rows(rows)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cells = xlsx_cells(content)
+                head = [c.strip().lower() for c in next(cells, [])]
+                at = {c: next((head.index(o) for o in COLUMN_NAMES[c] if o in head), None) for c in names}
+                for c in ("book_id", "chapter_num", "script_text"):
+                    if at[c] is None:
+                        raise ValueError(f"{file}: no column for {c} among {head}")
+                rows = [r for r in cells if any(r)]
+                column = lambda i: [None if i is None or i >= len(r) else r[i] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), *[pa.array(column(at[c]), pa.string()) for c in names]], names=["path", *names])
+
+    return line_rows(files.mapInArrow(work, schema))
 
 
 def parse_usfm(text: Column) -> Column:
@@ -314,15 +405,20 @@ def read_letter_times(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return d.select(F.chr(F.col("ch")).alias("letter"), "ts")
 
 
-def read_manifest(spark: SparkSession, path: str | list[str], ids: DataFrame, order: str) -> DataFrame:
-    """JSON-lines manifest joined by position to ids in their order (SRC-15); raises if the lengths differ."""
-    m = spark.read.schema("audio_start_sec double, audio_filepath string, duration double, text string, normalized_text string, uroman_tokens string").json(path)
-    at = W.orderBy(F.monotonically_increasing_id())  # a manifest has one chapter's lines
-    m = m.withColumn("pos", F.row_number().over(at))
-    i = ids.withColumn("pos", F.row_number().over(W.orderBy(order)))
-    if m.count() != i.count():
+def read_manifest(spark: SparkSession, path: str | list[str], ids: DataFrame, order: str, manifest: str = "manifest") -> DataFrame:
+    """JSON-lines manifests, one a chapter, joined by position to the ids of their chapter (SRC-15); raises if lengths differ.
+
+    ``ids`` names its file in ``manifest`` (no folders). Lines are numbered
+    within their file, ids within their manifest, so no step sees all of either.
+    """
+    item = "audio_start_sec double, audio_filepath string, duration double, text string, normalized_text string, uroman_tokens string"
+    m = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(manifest), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("rows"))
+    m = m.select(manifest, F.posexplode("rows").alias("pos", "row")).select(manifest, (F.col("pos") + 1).alias("pos"), F.from_json("row", item).alias("m"))
+    i = ids.withColumn("pos", F.row_number().over(W.partitionBy(manifest).orderBy(order)))
+    both = i.withColumn("__id", F.lit(True)).join(m, [manifest, "pos"], "full")
+    if not both.filter(F.col("__id").isNull() | F.col("m").isNull()).isEmpty():
         raise ValueError("manifest and ids differ in length")
-    return i.join(m, "pos").withColumns({"audio_start_sec": F.round("audio_start_sec", 3), "duration": F.round("duration", 3)})
+    return both.drop("__id").select("*", "m.*").drop("m").withColumns({"audio_start_sec": F.round("audio_start_sec", 3), "duration": F.round("duration", 3)})
 
 
 def read_known_errors(spark: SparkSession, path: str | list[str]) -> DataFrame:

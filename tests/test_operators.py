@@ -158,3 +158,29 @@ def test_mutations(spark):
     ids = [(r.k, r.t) for r in M.next_ids(spark.createDataFrame([("z",), ("y",), ("x",)], "t string"), old, "k", ["t"]).orderBy("k").collect()]
     assert ids == [(3, "x"), (4, "y"), (5, "z")]
     assert M.without(old, F.col("x") > 0).count() == 1
+
+
+def test_lineage_of_any_depth_and_cycles(spark):
+    chain = [(i, i - 1 if i else None) for i in range(75)]
+    cycle = [(100, 101), (101, 102), (102, 100), (103, 102), (104, 104), (105, 999)]
+    t = spark.createDataFrame(chain + cycle, "id int, parent_id int")
+    got = {(r.node_id, r.ancestor_id): r.up for r in G.lineage(t, "id", "parent_id").collect()}
+    want = {(i, j): i - j for i in range(75) for j in range(i + 1)}
+    want |= {(a, b): (b - a) % 3 for a in (100, 101, 102) for b in (100, 101, 102)}
+    want |= {(103, 103): 0, (103, 102): 1, (103, 100): 2, (103, 101): 3, (104, 104): 0, (105, 105): 0, (105, 999): 1}
+    assert got == want
+    assert G.lineage(t.limit(0), "id", "parent_id").count() == 0
+
+
+def test_chosen_code(spark):
+    tree = spark.createDataFrame([(1, None, "", "", ""), (2, 1, "aaa", "aa", ""), (3, 1, "bbb", "", "B"), (4, 2, "ccc", "", "C"), (5, None, "ddd", "", "")], "id int, parent_id int, iso639_3 string, iso639_1 string, whisper string")
+    ask = spark.createDataFrame([("aa", None), ("aaa", " "), ("aaa", "Z"), ("bbb", ""), ("ddd", None), ("?", None), ("?", "Y"), (None, None)], "language_iso string, override string")
+    got = {(r.language_iso, r.override): (r.code, r.found_by, r.status) for r in G.chosen_code(ask, tree, "id", "parent_id", "whisper").collect()}
+    assert got == {("aa", None): ("C", "nearest", 200), ("aaa", " "): ("C", "nearest", 200), ("aaa", "Z"): ("Z", "override", 200), ("bbb", ""): ("B", "same", 200), ("ddd", None): (None, "none", 400), ("?", None): (None, "none", 400), ("?", "Y"): ("Y", "override", 200), (None, None): (None, "none", 400)}
+
+
+def test_number_rows(spark):
+    t = spark.range(1000).repartition(7).withColumn("k", F.col("id") % 13)
+    got = M.number_rows(t, "n", ["k", "id"], after=5).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(6, 1006)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+    assert M.number_rows(t.limit(0), "n", ["k"]).count() == 0

@@ -35,6 +35,15 @@ def test_hot_pointer_is_salted(spark, monkeypatch):
     assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_every_hot_pointer_is_salted(spark, monkeypatch):
+    """More hot keys than the share allows at once: the share grows with the references, none is left whole."""
+    monkeypatch.setattr(O, "HOT_ROWS", 2)
+    monkeypatch.setattr(O, "HOT_KEYS", 10)
+    many = [(1000 * k + i, 500 + k, A) for k in range(30) for i in range(7 + 40 * (k < 3))]
+    got, _ = find(spark, [(500, A, A), (501, C, None)], many)
+    assert got == {c: (p, "2024-01", "deleted" if p == 500 else "late" if p == 501 else "missing") for c, p, _ in many}
+
+
 def test_empty(spark):
     assert find(spark, [], [])[0] == {}
     assert find(spark, PARENTS, [])[0] == {}

@@ -13,7 +13,7 @@ from quillstream.sources import readers as R
 
 USFM = "\\id KAR extra words\n\\h Head\n\\mt1 The Title\n\\c 1\n\\s part\n\\p\n\\v 1 One \\f + \\ft note\\f* two \\wj three\\wj*.\n\\v 2-3 Four {x}\n\\c 2\n\\p\n\\v 1 Seven"
 USX = '<usx version="3.0"><book code="KAR" style="id">x</book><para style="h">Head</para><para style="mt1">The Title</para><chapter number="1" style="c"/><para style="s">part</para><para style="p"><verse number="1" style="v"/>One <note style="f" caller="+"><char style="ft">note</char></note>two <char style="wj">three</char>.<verse eid="KAR 1:1"/><verse number="2-3" style="v"/>Four {x}</para><chapter number="2" style="c"/><para style="p"><verse number="1" style="v"/>Seven</para></usx>'
-WANT = [("KAR", 1, "0", "para.mt1", "The Title"), ("KAR", 1, "0", "para.s", "part"), ("KAR", 1, "1", "para.p", "One two three."), ("KAR", 1, "2-3", "para.p", "Four (x)"), ("KAR", 2, "1", "para.p", "Seven")]
+WANT = [("KAR", 1, "0", "para.h", "Head"), ("KAR", 1, "0", "para.mt1", "The Title"), ("KAR", 1, "1", "para.p", "One two three."), ("KAR", 1, "2-3", "para.p", "Four (x)"), ("KAR", 2, "1", "para.p", "Seven")]
 
 
 def xlsx(rows):
@@ -43,6 +43,30 @@ def test_markup_formats_agree(spark, tmp_path):
     assert R.read_usx(spark, str(tmp_path), "*.none").count() == 0
 
 
+def test_styles(spark):
+    """Introductions, section headings, notes and unknown styles are left out; titles are rows of their own; chapters follow each other."""
+    text = "\\id KAR\n\\h Head\n\\mt1 A\n\\mt2 B\n\\imt In\n\\ip Long \\bk intro\\bk* text\nmore\n\\c 1\n\\s1 Part\n\\r (x)\n\\q1\n\\v 1 One \\add two\\add* \\nd Three\\nd*\n\\d left out\n\\q2 four\n\\v 2 \\x - \\xo 1\\x*five \\zz no\\zz* six\n\\c 2\n\\sp Who\n\\p\n\\v 1 seven\\f + \\ft a \\+wj b\\+wj* c\\f*.\n\\tr \\th1 eight \\tcr2 nine"
+    got = [(c, v, s, t) for _, c, v, _, s, t in R.usfm_rows(text)]
+    assert got == [(1, "0", "para.h", "Head"), (1, "0", "para.mt1", "A"), (1, "0", "para.mt2", "B"), (1, "1", "para.q2", "One Three four"), (1, "2", "para.q2", "five six"), (2, "1", "para.tr", "seven. eight nine")]
+    usx = '<usx><book code="KAR" style="id"/><para style="ip">Long <char style="bk">x</char></para><chapter number="1" style="c"/><para style="s1">Part</para><para style="q1"><verse number="1" style="v"/>One <char style="add">two</char> <char style="nd">Three</char></para><para style="d">no</para><para style="q2">four</para><chapter number="2" style="c"/><para style="ms">no</para><para style="p"><verse number="1" style="v"/>seven<note style="ef">x</note>.</para><table><row style="tr"><cell style="th1">eight</cell></row></table></usx>'
+    assert [(c, v, t) for _, c, v, _, _, t in R.usx_rows(usx.encode())] == [(1, "1", "One Three four"), (2, "1", "seven. eight")]
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(R.unknown_styles(F.col("t")).alias("u")).collect()[0].u == ["ft", "xo", "zz"]
+
+
+def test_names_and_codes(spark):
+    names = spark.createDataFrame([("Song of Songs", "SNG"), ("San_Mateo", "MAT"), ("two", "B"), ("TWO", "A")], "book_name string, book_id string")
+    rows = spark.createDataFrame([("SongofSongs",), ("san mateo",), ("Two",), ("?",), (None,)], "book_name string")
+    assert {r.book_name: r.book_id for r in R.named_books(rows, names).collect()} == {"SongofSongs": "SNG", "san mateo": "MAT", "Two": "A", "?": None, None: None}
+    codes = spark.createDataFrame([("mrc",), (" GEN ",), (None,)], "c string").select(R.book_code(F.col("c")).alias("c")).collect()
+    assert [r.c for r in codes] == ["MRK", "GEN", None]
+
+
+def test_other_headers(spark, tmp_path):
+    (tmp_path / "b.xlsx").write_bytes(xlsx([["BK", "Chapter Number", "Start Verse Number", "Line Number", "Characters1", "Reader Name", "Verse_Content1"], ["JUA", "1", "1", "1", "N", "r", "One"]]))
+    r = R.read_xlsx(spark, "file://" + str(tmp_path)).first()
+    assert (r.book_id, r.chapter_num, r.verse_str, r.person, r.actor, r.script_text) == ("JHN", 1, "1", "N", "r", "One")
+
+
 def test_tables_agree(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Book,Chapter,Verse,Line_Number,Text\nkar,1,1,1,"One, two"\nJMS,1,<<,2,Title\nkar,x,2,3,bad\n')
     (tmp_path / "a.xlsx").write_bytes(xlsx([["BOOK", "Chapter", "Verse", "Line #", "Character", "Reader", "Target Language"], ["kar", "1", "1", "1", "N", "r", "One, two"], ["JMS", "1", "<<", "2", None, None, "Title"], ["kar", "x", "2", "3", None, None, "bad"]]))
@@ -82,10 +106,12 @@ def test_timing_catalog_errors_manifest(spark, tmp_path):
     (tmp_path / "e.csv").write_text("KAR 1:1 , 3,word ,kind\n")
     assert tuple(R.read_known_errors(spark, str(tmp_path / "e.csv")).first())[0::2] == ("KAR 1:1", "word")
     (tmp_path / "m.json").write_text("\n".join(json.dumps({"audio_start_sec": i + 0.12345, "text": f"t{i}", "duration": 1.0}) for i in range(2)))
-    ids = spark.createDataFrame([(7,), (5,)], "script_id long")
-    assert [(r.script_id, r.text, r.audio_start_sec) for r in R.read_manifest(spark, str(tmp_path / "m.json"), ids, "script_id").orderBy("pos").collect()] == [(5, "t0", 0.123), (7, "t1", 1.123)]
-    with pytest.raises(ValueError):
-        R.read_manifest(spark, str(tmp_path / "m.json"), ids.limit(1), "script_id")
+    (tmp_path / "n.json").write_text(json.dumps({"audio_start_sec": 9.0, "text": "u0", "duration": 1.0}) + "\n")
+    ids = spark.createDataFrame([(7, "m.json"), (5, "m.json"), (6, "n.json")], "script_id long, manifest string")
+    assert [(r.script_id, r.text, r.audio_start_sec) for r in R.read_manifest(spark, [str(tmp_path / "n.json"), str(tmp_path / "m.json")], ids, "script_id").orderBy("script_id").collect()] == [(5, "t0", 0.123), (6, "u0", 9.0), (7, "t1", 1.123)]
+    for some in (ids.filter("script_id <> 5"), ids.filter("script_id <> 6"), ids.unionByName(ids)):
+        with pytest.raises(ValueError):
+            R.read_manifest(spark, [str(tmp_path / "n.json"), str(tmp_path / "m.json")], some, "script_id")
 
 
 def test_writers(spark, tmp_path):
