@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.languages import fit_on, identify_languages
+from quillstream.llm.languages import fit_on, identify_languages, label_codes
 from quillstream.runtime import table
 
 
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(table(spark, sf_dir, "documents"), fit_on(table(spark, sf_dir, "lang_samples")))
+    codes = label_codes(spark, table(spark, sf_dir, "languages"))
+    return identify_languages(table(spark, sf_dir, "documents"), fit_on(table(spark, sf_dir, "lang_samples")), codes=codes)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
