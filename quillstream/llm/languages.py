@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm.leaks import fold
-from quillstream.llm.unify import code_points
+from quillstream.llm.unify import code_points, tables
 
 MAX_N = 5
 #: Code points processed at once (a longer text is still processed whole).
@@ -40,9 +40,14 @@ RIDGE = 1e-3
 #: Folds of the samples, and what a change of language may cost (in words of
 #: full score), from which the fit chooses on held-out samples.
 FOLDS, SWITCHES = 3, (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2, 1.4, 1.7, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)
+#: So many words in quotes within a sentence are a few, if fewer than the sentence's others; they aren't scored.
+FEW_WORDS = 5
 #: Ends of sentences.
 ENDS = ".!?…;\n。！？；．｡"
 
+# Pairs of quotation marks, and marks that open and close alike.
+_QUOTES, _ALIKE = ("“”", "„“", "«»", "»«", "‹›", "「」", "『』"), '"'
+
 # Codes of ISO 639-2 for use in bibliographies, and withdrawn codes.
 _OTHER_CODES = {
     "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de", "gre": "el", "ice": "is",
@@ -212,6 +217,45 @@ def _viterbi(gain: np.ndarray, first: np.ndarray, count: np.ndarray, switch: flo
     return out
 
 
+def _unquoted(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Code points with a few quoted words within a sentence blanked out, as they make no stretch.
+
+    A quotation counts if it begins and ends in its sentence, has FEW_WORDS
+    words at most, and all such quotations have fewer words than the rest.
+    """
+    marks = np.isin(cps, [ord(c) for c in {*"".join(_QUOTES), *_ALIKE}])
+    at = np.flatnonzero(marks)
+    if len(at) < 2:
+        return cps
+    unit = np.searchsorted(bounds, at, "right")
+    pair = np.zeros(len(at) - 1, bool)
+    a, b = cps[at[:-1]], cps[at[1:]]
+    for x, y in (*_QUOTES, *(c + c for c in _ALIKE)):
+        pair |= (a == ord(x)) & (b == ord(y))
+    pair &= unit[:-1] == unit[1:]
+    # Straight marks open and close alike: every second one of those that follow each other opens.
+    first = np.flatnonzero(pair)
+    run = np.flatnonzero(np.append(True, first[1:] != first[:-1] + 1)) if len(first) else first
+    place = np.arange(len(first)) - np.repeat(run, np.diff(np.append(run, len(first)))) if len(first) else first
+    first = first[place % 2 == 0]
+    if not len(first):
+        return cps
+    letter = tables().script[cps] > 0
+    word = letter.copy()
+    word[1:] &= ~letter[:-1]
+    count = np.append(0, np.cumsum(word))
+    few = count[at[first + 1]] - count[at[first]]
+    ok = few <= FEW_WORDS
+    first, few, own = first[ok], few[ok], unit[first[ok]] - 1
+    quoted = np.bincount(own, weights=few, minlength=len(bounds) - 1)
+    whole = count[bounds[1:]] - count[bounds[:-1]]
+    first = first[2 * quoted[own] < whole[own]]
+    edge = np.zeros(len(cps) + 1, np.int8)
+    edge[at[first]] += 1
+    edge[at[first + 1]] -= 1
+    return np.where(np.cumsum(edge[:-1]) > 0, np.uint32(32), cps)
+
+
 @dataclass
 class _Units:
     """Sentences or lines with letters: text, places in all code points, gain by language."""
@@ -227,7 +271,7 @@ def _units(cps: np.ndarray, off: np.ndarray, model: Model, is_end: np.ndarray) -
     starts = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], np.flatnonzero(is_end[cps]) + 1]))
     starts = starts[starts < len(cps)]
     bounds = np.append(starts, len(cps))
-    words, woff = fold(cps, bounds) if len(starts) else (cps, np.zeros(1, np.int64))
+    words, woff = fold(_unquoted(cps, bounds), bounds) if len(starts) else (cps, np.zeros(1, np.int64))
     n_words = np.add.reduceat(np.append(words == 32, False), woff[:-1]) - 1 if len(starts) else np.zeros(0, int)
     has = np.diff(woff) > 0
     scores = model.scores(words, woff)[has]
@@ -293,12 +337,13 @@ def _composed(sentences: dict[str, list[str]], rnd: np.random.Generator, n: int)
 
 
 def choose_switch(texts: list[str], langs: list[str]) -> tuple[float, dict]:
-    """The cost of a change of language with the fewest wrong texts on held-out samples, and a report.
+    """The cost of a change of language by the wrong texts on held-out samples, and a report.
 
     For each of FOLDS parts of the samples a model is fitted on the others, and
     texts composed from the part's sentences are told apart at every cost. A
-    text is right if its stretches have the right languages and borders. Among
-    equally good costs the middle one is taken.
+    text is right if its stretches have the right languages and borders. Of the
+    costs within one standard error of the best the largest is taken, as every
+    sentence of a long text is a chance for a false change.
     """
     is_end, names = sentence_ends(), sorted(set(langs))
     place = {x: 0 for x in names}
@@ -331,8 +376,7 @@ def choose_switch(texts: list[str], langs: list[str]) -> tuple[float, dict]:
             wrong[k] += len(np.unique(u.doc[bad]))
     if not n:
         return 1.0, {}
-    best = np.flatnonzero(wrong == wrong.min())
-    k = int(best[len(best) // 2])
+    k = int(np.flatnonzero(wrong <= wrong.min() + np.sqrt(wrong.min()))[-1])
     return SWITCHES[k], {"texts": n, "wrong_texts": int(wrong[k]), "sentences": told, "right_sentences_alone": sure, "wrong_by_switch": dict(zip(SWITCHES, wrong.tolist()))}
 
 
