@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.packing import MAX_TARGETS, count_tokens, pack
+from quillstream.llm.packing import count_tokens, pack
 from quillstream.runtime import table
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pack_targets").orderBy("capacity_tokens", "target_name").limit(MAX_TARGETS + 1).collect()
+    rows = table(spark, sf_dir, "pack_targets").orderBy("capacity_tokens", "target_name").collect()  # never grows
     return pack(count_tokens(table(spark, sf_dir, "documents")), [(r.target_name, r.capacity_tokens) for r in rows])
 
 

@@ -31,6 +31,19 @@ def test_search_finds_what_best_fit_misses():
     assert len(set(local_search(sizes, start, 10))) == 3
 
 
+def test_pairs_of_a_container_with_many_items():
+    """Two-for-one exchanges whatever the number of items: all sums are found, by pairs of the container's own items."""
+    rng = np.random.default_rng(3)
+    sizes = np.sort(rng.integers(1, 40, 700))
+    own = np.arange(700)
+    both, pairs = packing._pairs(sizes, own)
+    assert both.tolist() == sorted({int(a + b) for i, a in enumerate(sizes) for b in sizes[i + 1 :]})
+    assert (sizes[pairs].sum(1) == both).all() and (pairs[:, 0] < pairs[:, 1]).all()
+    # Only two of the giver's 300 items together against one larger item empty a container.
+    sizes = np.array([1] * 300 + [400, 398])
+    assert len(set(local_search(sizes, np.array([0] * 300 + [1, 1]), 800))) == 2
+
+
 def check(rows, items, targets):
     """Everything placed once, whole or in pieces of the capacity; no container too full."""
     for name, cap in targets:
@@ -76,3 +89,13 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "x" * 200_000), (5, "<|endoftext|>")], "doc_id long, text string")
     n = {r.doc_id: r.n_tokens for r in count_tokens(df).collect()}
     assert n[1] == n[2] == 0 and n[3] == 2 and n[4] > 1000 and n[5] > 1
+
+
+def test_vocabulary_files_agree():
+    """The rank file and the tokenizers file of one vocabulary give the same sizes."""
+    folder = os.path.dirname(TOKENIZER)
+    if not os.path.exists(f"{folder}/byte_bpe_50k.json"):
+        pytest.skip("no tokenizer files")
+    texts = ["", "Hello, world's  end\n\n 12 345", "Эта река…", "naïve \u200b x", "a" * 5000, " \t "]
+    n = [packing._counter(f.rpartition(".")[2], open(f"{folder}/{f}", "rb").read())(texts) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")]
+    assert n[0] == n[1]

@@ -52,6 +52,12 @@ def test_packed(spark):
     assert {t: len(d) for t, d in docs.items()} == {t: n for t in cap}
 
 
+def test_packing_report(spark):
+    """At most one container in a hundred, and one more, above what no packing can go below."""
+    for r in QUERIES["p6_report"](spark, DATA).collect():
+        assert r.least_containers <= r.n_containers <= 1.01 * r.least_containers + 1
+
+
 @pytest.mark.parametrize("name", ["p7_found", "p7_items", "p8_found", "p8_stretches", "p6_report"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
