@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillstream.llm import cutoffs as C
@@ -21,17 +22,17 @@ def brute(rows, shares):
     return out
 
 
-def run(spark, rows, shares):
+def run(spark, rows, shares, **sizes):
     s = spark.createDataFrame([(*r, 1, "x") for r in rows], "t string, d long, score double, sid int, permille string")
     p = spark.createDataFrame([(t, d, m, 1.0) for (t, d), m in shares.items()], "t string, d long, permille int, score double")
-    out = C.fraction_cutoffs(s.repartition(5), p, ["t", "d"]).collect()
+    out = C.fraction_cutoffs(s.repartition(5), p, ["t", "d"], **sizes).collect()
     return {(r.t, r.d): (r.n_counted, r.cutoff, r.n_kept) for r in out}
 
 
-@pytest.mark.parametrize("run_rows,isolated", [(7, 0), (7, 50), (1 << 17, 2048)])
-def test_against_brute_force(spark, monkeypatch, run_rows, isolated):
-    monkeypatch.setattr(C, "RUN_ROWS", run_rows)
-    monkeypatch.setattr(C, "ISOLATED", isolated)
+@pytest.mark.parametrize("sort_rows,run_values", [(7, 3), (50, 8), (C.SORT_ROWS, C.RUN_VALUES)])
+def test_against_brute_force(spark, sort_rows, run_values):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sort_rows)
     rnd = random.Random(4)
     rows, shares = [], {}
     for d in range(12):
@@ -43,7 +44,20 @@ def test_against_brute_force(spark, monkeypatch, run_rows, isolated):
     rows += [("hot", 1, rnd.random()) for _ in range(1500)] + [("hot", 1, 0.5)] * 300
     rows += [(None, None, 0.25), (None, None, 0.75), ("none", 7, 0.5), ("null", 8, 0.5), ("zero", 9, 0.0)]
     shares |= {("hot", 1): 430, (None, None): 500, ("null", 8): None, ("zero", 9): 500, ("absent", 1): 500}
-    assert run(spark, rows, shares) == brute(rows, shares)
+    try:
+        assert run(spark, rows, shares, sort_rows=sort_rows, run_values=run_values) == brute(rows, shares)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_report_of_a_run():
+    v, c = np.array([0.1, 0.2, 0.4, 0.8, 0.9]), np.cumsum([2, 1, 5, 1, 3])
+    n, eq, med = C._report(v, c, 0.1, float("nan"), np.array([0.3, 0.4, 0.85]))
+    assert n.tolist() == [1, 0, 1, 3] and eq.tolist() == [0, 5, 0]
+    assert (med[0] == 0.2).all() and (med[2] == 0.8).all() and (med[3] == 0.9).all()
+    assert C._report(v, c, 0.9, float("nan"), np.zeros(0)) is None
+    whole = C._report(v, c, float("nan"), float("nan"), np.zeros(0))
+    assert whole[0].tolist() == [12] and whole[2][0].tolist() == [0.1, 0.2, 0.4, 0.4, 0.4, 0.8, 0.9]
 
 
 def test_empty(spark):
