@@ -161,7 +161,7 @@ class Model:
 
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Nystroem kernel ridge regression on labelled texts (at most MAX_LANDMARKS of a language, evenly spread, are landmarks)."""
-    words, off = fold(*code_points(pa.array(texts, pa.string())))
+    words, off = fold(*code_points(pa.array(texts, pa.string())), by_capital=False)
     names = sorted(set(langs))
     row, key = _ngrams(words, off)
     vocab, col = np.unique(key, return_inverse=True)
@@ -271,7 +271,7 @@ def _units(cps: np.ndarray, off: np.ndarray, model: Model, is_end: np.ndarray) -
     starts = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], np.flatnonzero(is_end[cps]) + 1]))
     starts = starts[starts < len(cps)]
     bounds = np.append(starts, len(cps))
-    words, woff = fold(_unquoted(cps, bounds), bounds) if len(starts) else (cps, np.zeros(1, np.int64))
+    words, woff = fold(_unquoted(cps, bounds), bounds, by_capital=False) if len(starts) else (cps, np.zeros(1, np.int64))
     n_words = np.add.reduceat(np.append(words == 32, False), woff[:-1]) - 1 if len(starts) else np.zeros(0, int)
     has = np.diff(woff) > 0
     scores = model.scores(words, woff)[has]

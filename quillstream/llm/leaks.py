@@ -16,44 +16,56 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.llm import unify
 from quillstream.llm.unify import CHUNK, _expand, _ranges, code_points, tables
+from quillstream.runtime import Workspace
 
 #: Words of a passage that count as a leak.
 WORDS = 10
-#: Strings searched in one pass over the documents; more take more passes.
-PASS_STRINGS = 50_000
-#: Block length, table size, and code points scanned by one cursor.
-BLOCK, TABLE_BITS, LANE = 8, 20, 2048
+#: Code points of items searched in one pass over the documents; more take more passes.
+PASS_CHARS = 1 << 21
+#: Block length, and code points scanned by one cursor.
+BLOCK, LANE = 8, 2048
 #: Strings are searched in classes of similar length, as a short one would
 #: shorten the shifts of all.
 CLASSES = (1, 8, 16, 28, 48)
 
-# Letters that look the same. After case folding, but Greek
-# capitals and small letters separately, as they resemble different letters.
-_SAME, _AS = "авеѕіјкмнортсухһԁԛԝӏү", "abesijkmhoptcyxhdqwly"
-_GREEK, _GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγϲϳ", "abezhikmnoptyxaikvopuxycj"
 _SPACE, _BACKSLASH = 32, 92
 
 
+def _look_alikes() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Small letters that look like Latin ones, in either size: of Cyrillic, and of Greek by its capitals and by its small letters."""
+    cyril = {c.casefold(): x.casefold() for c, x in zip(unify._CYRIL, unify._LATIN, strict=True)}
+    cyril |= {c: x.casefold() for c, x in zip(unify._MORE_CYRIL, unify._MORE_CYRIL_AS, strict=True) if c.islower() or c.casefold() not in unify._MORE_CYRIL}
+    upper = {c.casefold(): x.casefold() for c, x in zip(unify._GREEK_UPPER, unify._GREEK_UPPER_AS, strict=True)}
+    lower = dict(zip(unify._GREEK_LOWER, unify._GREEK_LOWER_AS, strict=True))
+    return cyril, lower | upper, upper | lower
+
+
 class Folding:
-    """Tables from code points to decomposed, case-folded letters; anything else is a space or nothing."""
+    """Tables from code points to decomposed, case-folded letters; anything else is a space or nothing.
 
-    def __init__(self) -> None:
+    A Greek letter becomes the Latin one that its capital resembles
+    (``by_capital``) or that its small letter does; where only one of them
+    resembles any, that one. Either way case makes no difference.
+    """
+
+    def __init__(self, by_capital: bool = True) -> None:
         top = 0x110000
-        alike = {ord(a): b for a, b in zip(_SAME, _AS, strict=True)}
-        greek = {ord(a): b for a, b in zip(_GREEK, _GREEK_AS, strict=True)}
+        cyril, upper, lower = _look_alikes()
+        alike = cyril | (upper if by_capital else lower)
         self.len, self.off = np.ones(top, np.int64), np.arange(top, dtype=np.int64)
         extra: list[int] = []
         for cp in _ranges():
             out: list[int] = []
             for x in _expand(cp):
-                for c in greek.get(x) or chr(x).casefold():
-                    c = alike.get(ord(c), c)
-                    out += [ord(d) if U.category(d)[0] in "LM" else _SPACE for d in U.normalize("NFD", c)]
+                for c in chr(x).casefold():
+                    out += [ord(d) if U.category(d)[0] in "LM" else _SPACE for d in U.normalize("NFD", alike.get(c, c))]
             if out != [cp]:
                 self.off[cp], self.len[cp] = top + len(extra), len(out)
                 extra += out
@@ -65,19 +77,35 @@ class Folding:
             self.marker[ord(c)] = True
 
 
+@lru_cache(2)
+def folding(by_capital: bool = True) -> Folding:
+    return Folding(by_capital)
+
+
 @lru_cache(1)
-def folding() -> Folding:
-    return Folding()
+def _classes() -> np.ndarray:
+    """From Latin letters to classes: letters that one Greek letter may stand for, by its capital or small form, are in one."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    _, upper, lower = _look_alikes()
+    for c in upper:
+        a, b = sorted({int(out[ord(upper[c])]), int(out[ord(lower[c])])} | {0x110000})[:2]
+        if b < 0x110000:
+            out[out == b] = a
+    return out
+
 
+def _has_greek(cps: np.ndarray) -> bool:
+    return bool((((cps >= 0x370) & (cps < 0x400)) | ((cps >= 0x1F00) & (cps < 0x2000)) | ((cps >= 0x1D6A8) & (cps < 0x1D7CC)) | (cps == 0xB5)).any())
 
-def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def fold(cps: np.ndarray, off: np.ndarray, by_capital: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Texts as words: `` w1 w2 ... wn `` with one space around each word; a text without letters is empty.
 
     Gone are case, digits, punctuation, line breaks, backslash markers (such as
     those of USFM) and invisible characters; look-alike letters are one letter;
     accents stay, as decomposed marks in canonical order.
     """
-    t = folding()
+    t = folding(by_capital)
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(off))
     own = t.marker[cps]
@@ -114,37 +142,39 @@ def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.append(0, np.cumsum(np.bincount(row, weights=size, minlength=n).astype(np.int64))) if n else np.zeros(1, np.int64)
 
 
-def _hashes(a: np.ndarray, block: int) -> np.ndarray:
+def _hashes(a: np.ndarray, block: int, bits: int) -> np.ndarray:
     """Hash of the block that ends at each position (positions before block - 1 are unused)."""
     h = np.zeros(len(a), np.uint32)
     for j in range(block):
         h[block - 1 :] = h[block - 1 :] * np.uint32(0x01000193) ^ (a[j : len(a) - block + 1 + j] * np.uint32(0x9E3779B1))
-    return (h ^ (h >> np.uint32(15))) & np.uint32((1 << TABLE_BITS) - 1)
+    return (h ^ (h >> np.uint32(15))) & np.uint32((1 << bits) - 1)
 
 
 class WuManber:
-    """Search tables for strings of one length class."""
-
-    def __init__(self, strings: list[np.ndarray], ids: list[int]):
-        self.m = min(map(len, strings))
-        self.block = min(BLOCK, max(1, self.m // 2))
-        windows = np.array([s[: self.m] for s in strings], np.uint32)
-        flat = windows.ravel()
-        h = _hashes(flat, self.block).reshape(windows.shape)
-        self.shift = np.full(1 << TABLE_BITS, self.m - self.block + 1, np.int16)
-        for j in range(self.block - 1, self.m):
-            self.shift[h[:, j]] = np.minimum(self.shift[h[:, j]], self.m - 1 - j)
-        order = np.argsort(h[:, -1], kind="stable")
-        self.suffix = h[order, -1]
-        self.prefix = h[order, self.block - 1]
-        self.strings = [strings[i].astype("<u4").tobytes() for i in order]
-        self.ids = np.array(ids)[order]
-
-    def search(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(start, id) of every occurrence."""
+    """Search tables for strings of one length class, given as places in one text: start, length and id."""
+
+    def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray):
+        self.m = m = int(length.min())
+        self.block = min(BLOCK, max(1, m // 2))
+        # The table has room for the strings' blocks, within 2 and 32 MB.
+        self.bits = min(max(int(len(start) * m).bit_length(), 20), 24)
+        h = _hashes(text, self.block, self.bits)
+        most = np.iinfo(np.uint16).max  # a smaller shift is always right
+        self.shift = np.full(1 << self.bits, min(m - self.block + 1, most), np.uint16)
+        for j in range(self.block - 1, m):
+            at = h[start + j]
+            self.shift[at] = np.minimum(self.shift[at], min(m - 1 - j, most))
+        suffix = h[start + m - 1]
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.prefix = suffix[order], h[start + self.block - 1][order]
+        self.start, self.length, self.ids = start[order], length[order], ids[order]
+        self.raw = text.astype("<u4").tobytes()
+
+    def search(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(place, start of the string, its length, its id) of every occurrence."""
         if len(text) < self.m:
             return
-        h = _hashes(text, self.block)
+        h = _hashes(text, self.block, self.bits)
         at = np.arange(0, len(text), LANE)
         stop = np.minimum(at + LANE, len(text))
         at[0] = self.m - 1
@@ -153,7 +183,7 @@ class WuManber:
         at, stop = at[live], stop[live]
         found = []
         while len(at):
-            s = self.shift[h[at]]
+            s = self.shift[h[at]].astype(np.int64)
             if (zero := s == 0).any():
                 found.append(at[zero])
             at = at + np.maximum(s, 1)
@@ -167,43 +197,81 @@ class WuManber:
         pos = np.repeat(end, many)
         which = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         keep = h[pos - self.m + self.block] == self.prefix[which]
-        raw = memoryview(text.astype("<u4").tobytes())
-        for p, w in zip((pos[keep] - self.m + 1).tolist(), which[keep].tolist()):
-            s = self.strings[w]
-            if raw[4 * p : 4 * p + len(s)] == s:
-                yield p, int(self.ids[w])
+        raw = text.astype("<u4").tobytes()
+        which = which[keep]
+        for p, s, n, i in zip((pos[keep] - self.m + 1).tolist(), self.start[which].tolist(), self.length[which].tolist(), self.ids[which].tolist()):
+            if raw[4 * p : 4 * (p + n)] == self.raw[4 * s : 4 * (s + n)]:
+                yield p, s, n, i
 
 
-def passages(words: np.ndarray, n_words: int = WORDS) -> list[np.ndarray]:
-    """The strings searched for an item folded to words: its runs of n_words words, or all of it if it has fewer."""
+def passages(words: np.ndarray, n_words: int = WORDS) -> list[tuple[int, int]]:
+    """Begin and end of the strings searched for an item folded to words: its runs of n_words words, or all of it if it has fewer."""
     gaps = np.flatnonzero(words == _SPACE)
     n = len(gaps) - 1
     if n < 1:
         return []
     if n <= n_words:
-        return [words]
-    return [words[gaps[i] : gaps[i + n_words] + 1] for i in range(n - n_words + 1)]
-
-
-def _fold_texts(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return fold(*code_points(text))
-
-
-def _scan(searches: list[WuManber]):
+        return [(0, len(words))]
+    return [(int(gaps[i]), int(gaps[i + n_words]) + 1) for i in range(n - n_words + 1)]
+
+
+class Searches:
+    """The strings of a block of items, by length, and the items' words in both foldings."""
+
+    def __init__(self, words: list[bytes], other: list[bytes], n_words: int):
+        self.own, self.other = (np.frombuffer(b"".join(x), "<u4") for x in (words, other))
+        text = _classes()[self.own]
+        start, length, ids, at = [], [], [], 0
+        for i, w in enumerate(words):
+            for a, b in passages(np.frombuffer(w, "<u4"), n_words):
+                start.append(at + a)
+                length.append(b - a)
+                ids.append(i)
+            at += len(w) // 4
+        start, length, ids = (np.array(x, np.int64) for x in (start, length, ids))
+        self.classes = []
+        for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 62)):
+            own = (low <= length) & (length < high)
+            if own.any():
+                self.classes.append(WuManber(text, start[own], length[own], ids[own]))
+
+    def found(self, cps: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], int]:
+        """Number of places of (text, item).
+
+        The search compares classes of letters. Where a Greek letter may stand
+        for two Latin ones, each letter must agree in one of the foldings.
+        """
+        words, at = fold(cps, off)
+        text = _classes()[words]
+        other = fold(cps, off, by_capital=False)[0] if _has_greek(cps) else words
+        hits: dict[tuple[int, int], int] = {}
+        for c in self.classes:
+            for p, s, n, item in c.search(text):
+                x, y = words[p : p + n], self.own[s : s + n]
+                if (x == y).all() or ((x == y) | (other[p : p + n] == self.other[s : s + n])).all():
+                    k = int(np.searchsorted(at, p, "right")) - 1, item
+                    hits[k] = hits.get(k, 0) + 1
+        return hits
+
+
+#: Searches of the last block used by this Python worker.
+_LAST: dict[str, Searches] = {}
+
+
+def _scan(key: str, block: Broadcast, n_words: int):
     """mapInArrow function over (doc, text): a row for each document and item index, with the number of places found."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _LAST:
+            _LAST.clear()
+            _LAST[key] = Searches(*block.value, n_words)
+        searches = _LAST[key]
         for batch in batches:
             cps, off = code_points(batch.column(1))
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, "right")) - 1)
-                words, at = fold(cps[off[a] : off[b]], off[a : b + 1] - off[a])
-                hits: dict[tuple[int, int], int] = {}
-                for s in searches:
-                    for p, item in s.search(words):
-                        k = int(np.searchsorted(at, p, "right")) - 1, item
-                        hits[k] = hits.get(k, 0) + 1
+                hits = searches.found(cps[off[a] : off[b]], off[a : b + 1] - off[a])
                 if hits:
                     docs = batch.column(0).take(pa.array([a + d for d, _ in hits]))
                     yield pa.RecordBatch.from_arrays([docs, pa.array([i for _, i in hits], pa.int64()), pa.array(list(hits.values()), pa.int64())], names=["doc", "item", "n"])
@@ -212,7 +280,17 @@ def _scan(searches: list[WuManber]):
     return work
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", n_words: int = WORDS) -> DataFrame:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) of items to (id, words by capitals, words by small letters), without items that have no letters."""
+    for batch in batches:
+        cps, off = code_points(batch.column(1))
+        (own, at), (other, _) = fold(cps, off), fold(cps, off, by_capital=False)
+        some = np.flatnonzero(np.diff(at) > 0)
+        cut = lambda x: pa.array([x[at[i] : at[i + 1]].astype("<u4").tobytes() for i in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), cut(own), cut(other)], names=["id", "words", "other"])
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", n_words: int = WORDS, pass_chars: int = PASS_CHARS) -> DataFrame:
     """Documents that hold passages of items: doc_id, item_id, n_places.
 
     A document holds an item if ``n_words`` consecutive words of the item occur
@@ -222,40 +300,29 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
     NULL and empty texts and items without letters take part in nothing; NULL
     ids stay NULL ids. Rows of one doc_id (or item_id) count together. Other
-    columns are ignored. Documents are scanned whole. Items are read by the
-    driver one by one and searched PASS_STRINGS strings at a time, in one pass
-    over the documents each, so neither tables nor driver grow with the items.
+    columns are ignored. Documents are scanned whole. Items are folded on the
+    executors and searched in blocks of about ``pass_chars`` code points, each
+    in one pass over the documents; the driver holds one block at a time.
     """
     spark = documents.sparkSession
     id_type = items.schema[item_id].dataType
     out = T.StructType([T.StructField("doc", documents.schema[doc_id].dataType), T.StructField("item", T.LongType()), T.StructField("n", T.LongType())])
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    made = T.StructType([T.StructField("id", id_type), T.StructField("words", T.BinaryType()), T.StructField("other", T.BinaryType())])
+    space = Workspace(spark, "leaks")
+    asked = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
+    folded = space.put(asked.mapInArrow(_folded, made))
+    chars = folded.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 4
+    n_blocks = -(-chars // pass_chars)
     found = None
-
-    def one_pass(strings: list[np.ndarray], owners: list[int], ids: list) -> DataFrame:
-        searches = []
-        for low, high in zip(CLASSES, (*CLASSES[1:], 1 << 62)):
-            own = [i for i, s in enumerate(strings) if low <= len(s) < high]
-            if own:
-                searches.append(WuManber([strings[i] for i in own], [owners[i] for i in own]))
-        hits = docs.mapInArrow(_scan(searches), out)
-        names = spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("item", T.LongType()), T.StructField("id", id_type)]))
-        return hits.join(F.broadcast(names), "item").select(F.col("doc").alias(doc_id), F.col("id").alias(item_id), "n")
-
-    strings, owners, ids = [], [], []
-    for r in items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull()).toLocalIterator():
-        own = passages(_fold_texts(pa.array([r.t]))[0], n_words)
-        if not own:
+    for k in range(n_blocks):
+        rows = folded.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k).select("id", "words", "other").collect()
+        if not rows:
             continue
-        if strings and len(strings) + len(own) > PASS_STRINGS:
-            hits = one_pass(strings, owners, ids)
-            found = hits if found is None else found.unionByName(hits)
-            strings, owners, ids = [], [], []
-        strings += own
-        owners += [len(ids)] * len(own)
-        ids.append(r.i)
-    if strings:
-        hits = one_pass(strings, owners, ids)
+        block = spark.sparkContext.broadcast(([bytes(r.words) for r in rows], [bytes(r.other) for r in rows]))
+        names = spark.createDataFrame([(i, r.id) for i, r in enumerate(rows)], T.StructType([T.StructField("item", T.LongType()), T.StructField("id", id_type)]))
+        hits = docs.mapInArrow(_scan(f"{space.root}/{k}", block, n_words), out)
+        hits = hits.join(F.broadcast(names), "item").select(F.col("doc").alias(doc_id), F.col("id").alias(item_id), "n")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], T.StructType([T.StructField(doc_id, out["doc"].dataType), T.StructField(item_id, id_type), T.StructField("n_places", T.LongType())]))

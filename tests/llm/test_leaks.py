@@ -56,11 +56,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item int")
     it = spark.createDataFrame(items, "item_id long, item_text string")
     strip = [(d, re.sub(r"\\\w+", " ", t) if t else t) for d, t in docs]
-    for per_pass in (50_000, 40):
-        old, leaks.PASS_STRINGS = leaks.PASS_STRINGS, per_pass
-        got = {(r.doc_id, r.item_id) for r in find_leaks(df, it).collect()}
-        leaks.PASS_STRINGS = old
-        assert got == brute(strip, items)
+    for chars in (leaks.PASS_CHARS, 900):
+        assert {(r.doc_id, r.item_id) for r in find_leaks(df, it, pass_chars=chars).collect()} == brute(strip, items)
 
 
 def test_empty(spark):
@@ -76,7 +73,28 @@ def test_search_finds_every_place():
     strings = [text[i : i + k].copy() for i in range(0, 19_000, 900) for k in (12, 13, 20)]
     raw = text.tobytes()
     want = {(i, s) for s, x in enumerate(strings) for i in range(len(text) - len(x) + 1) if raw[4 * i : 4 * (i + len(x))] == x.tobytes()}
-    assert set(leaks.WuManber(strings, list(range(len(strings)))).search(text)) == want
+    assert {(p, i) for p, _, _, i in tables_of(strings).search(text)} == want
+
+
+def tables_of(strings):
+    n = np.array([len(x) for x in strings])
+    return leaks.WuManber(np.concatenate(strings), np.cumsum(n) - n, n, np.arange(len(n)))
+
+
+def test_very_long_string():
+    """A class whose shortest string has 70,000 code points: shifts beyond two bytes."""
+    rnd = np.random.default_rng(2)
+    string = rnd.integers(97, 123, 70_000).astype(np.uint32)
+    text = np.concatenate([rnd.integers(97, 123, 90_000).astype(np.uint32), string, string[:500]])
+    assert [(p, i) for p, _, _, i in tables_of([string]).search(text)] == [(90_000, 0)]
+
+
+def test_greek(spark):
+    """Greek text in either case, and Greek letters in Latin text by the look of either case, but not one Latin letter for another."""
+    docs = [(1, "ΝΑΙ ΥΠΑΡΧΕΙ ΝΕΡΟ"), (2, "ναι υπάρχει νερό".replace("ά", "α").replace("ό", "ο")), (3, "ηaνe Νone uνula"), (4, "have none uvula"), (5, "hane vone yvyla"), (6, "HAVE NONE UVULA"), (7, "haνe νone Υνula")]
+    items = [(1, "ναι υπαρχει νερο"), (2, "have none uvula"), (3, "Ναι Υπαρχει Νερο")]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 3), (2, 1), (2, 3), (3, 2), (4, 2), (6, 2), (7, 2)}
 
 
 def test_passages():
