@@ -94,10 +94,6 @@ def _classes() -> np.ndarray:
     return out
 
 
-def _has_greek(cps: np.ndarray) -> bool:
-    return bool((((cps >= 0x370) & (cps < 0x400)) | ((cps >= 0x1F00) & (cps < 0x2000)) | ((cps >= 0x1D6A8) & (cps < 0x1D7CC)) | (cps == 0xB5)).any())
-
-
 def fold(cps: np.ndarray, off: np.ndarray, by_capital: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Texts as words: `` w1 w2 ... wn `` with one space around each word; a text without letters is empty.
 
@@ -170,11 +166,14 @@ class WuManber:
         self.start, self.length, self.ids = start[order], length[order], ids[order]
         self.raw = text.astype("<u4").tobytes()
 
-    def search(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(place, start of the string, its length, its id) of every occurrence."""
+    def search(self, text: np.ndarray, hashes: dict[tuple[int, int], np.ndarray] | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(place, start of the string, its length, its id) of every occurrence; ``hashes`` of the text are shared by tables of one block length and size."""
         if len(text) < self.m:
             return
-        h = _hashes(text, self.block, self.bits)
+        hashes = {} if hashes is None else hashes
+        if (self.block, self.bits) not in hashes:
+            hashes[self.block, self.bits] = _hashes(text, self.block, self.bits)
+        h = hashes[self.block, self.bits]
         at = np.arange(0, len(text), LANE)
         stop = np.minimum(at + LANE, len(text))
         at[0] = self.m - 1
@@ -243,14 +242,20 @@ class Searches:
         """
         words, at = fold(cps, off)
         text = _classes()[words]
-        other = fold(cps, off, by_capital=False)[0] if _has_greek(cps) else words
+        others: dict[int, np.ndarray] = {}
+        hashes: dict[tuple[int, int], np.ndarray] = {}
         hits: dict[tuple[int, int], int] = {}
         for c in self.classes:
-            for p, s, n, item in c.search(text):
+            for p, s, n, item in c.search(text, hashes):
+                d = int(np.searchsorted(at, p, "right")) - 1
                 x, y = words[p : p + n], self.own[s : s + n]
-                if (x == y).all() or ((x == y) | (other[p : p + n] == self.other[s : s + n])).all():
-                    k = int(np.searchsorted(at, p, "right")) - 1, item
-                    hits[k] = hits.get(k, 0) + 1
+                if not (x == y).all():
+                    if d not in others:
+                        others[d] = fold(cps[off[d] : off[d + 1]], np.array([0, off[d + 1] - off[d]]), by_capital=False)[0]
+                    z = others[d][p - at[d] : p - at[d] + n]
+                    if not ((x == y) | (z == self.other[s : s + n])).all():
+                        continue
+                hits[d, item] = hits.get((d, item), 0) + 1
         return hits
 
 
