@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.leaks import fold
-from quillstream.llm.unify import code_points, tables
+from quillstream.llm.leaks import fold, folding
+from quillstream.llm.unify import code_points
 
 MAX_N = 5
 #: Code points processed at once (a longer text is still processed whole).
@@ -240,7 +240,7 @@ def _unquoted(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     first = first[place % 2 == 0]
     if not len(first):
         return cps
-    letter = tables().script[cps] > 0
+    letter = folding(False).letter[cps]
     word = letter.copy()
     word[1:] &= ~letter[:-1]
     count = np.append(0, np.cumsum(word))

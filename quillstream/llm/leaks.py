@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm import unify
-from quillstream.llm.unify import CHUNK, _expand, _ranges, code_points, tables
+from quillstream.llm.unify import _IGNORED, CHUNK, _expand, _ranges, code_points
 from quillstream.runtime import Workspace
 
 #: Words of a passage that count as a leak.
@@ -59,22 +59,43 @@ class Folding:
         top = 0x110000
         cyril, upper, lower = _look_alikes()
         alike = cyril | (upper if by_capital else lower)
-        self.len, self.off = np.ones(top, np.int64), np.arange(top, dtype=np.int64)
+        # What isn't named below is a space; letters that `_ranges` leaves out are themselves.
+        self.len, self.off = np.ones(top, np.int64), np.full(top, _SPACE, np.int64)
+        for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x2F800), (0x2FA20, 0x33480)):
+            self.off[a:b] = np.arange(a, b)
         extra: list[int] = []
+        own: list[int] = []
         for cp in _ranges():
+            c = chr(cp)
+            kind, how = U.category(c), U.decomposition(c)
+            if kind[0] in "LM" and not how and cp not in _IGNORED and c not in alike and c.casefold() == c:
+                own.append(cp)
+                continue
+            if kind == "Cn" or (not how and kind[0] in "PSZN" and kind != "Nd"):
+                continue
             out: list[int] = []
             for x in _expand(cp):
-                for c in chr(x).casefold():
-                    out += [ord(d) if U.category(d)[0] in "LM" else _SPACE for d in U.normalize("NFD", alike.get(c, c))]
-            if out != [cp]:
+                for y in chr(x).casefold():
+                    out += [ord(d) if U.category(d)[0] in "LM" else _SPACE for d in U.normalize("NFD", alike.get(y, y))]
+            if out != [_SPACE]:
                 self.off[cp], self.len[cp] = top + len(extra), len(out)
                 extra += out
-        for a, b in ((0x33480, 0xE0000), (0xE0200, top)):  # unassigned and private
-            self.off[a:b] = _SPACE
+        self.off[own] = own
         self.data = np.concatenate([np.arange(top, dtype=np.uint32), np.array(extra, np.uint32)])
         self.marker = np.zeros(top, bool)
         for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+":
             self.marker[ord(c)] = True
+        self.letter = (self.len > 0) & (self.data[np.minimum(self.off, len(self.data) - 1)] != _SPACE) & (combining() == 0)
+
+
+@lru_cache(1)
+def combining() -> np.ndarray:
+    """Canonical combining class of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    for cp in _ranges():
+        if k := U.combining(chr(cp)):
+            out[cp] = k
+    return out
 
 
 @lru_cache(2)
@@ -115,7 +136,7 @@ def fold(cps: np.ndarray, off: np.ndarray, by_capital: bool = True) -> tuple[np.
     out = t.data[np.repeat(t.off[cps] - start, size) + np.arange(int(size.sum()))]
     row = np.repeat(row, size)
     # Marks in canonical order.
-    ccc = tables().ccc[out]
+    ccc = combining()[out]
     if ((ccc[1:] > 0) & (ccc[:-1] > 0)).any():
         head = ccc == 0
         head[1:] |= row[1:] != row[:-1]
