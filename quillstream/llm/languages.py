@@ -29,9 +29,9 @@ from quillstream.llm.unify import code_points
 
 MAX_N = 5
 #: Code points processed at once (a longer text is still processed whole).
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Letters of sentences scored at once (a longer sentence is still scored whole).
-BLOCK_CHARS = 1 << 17
+BLOCK_CHARS = 1 << 14
 #: Bits of an n-gram's hash; the rest of a key is the sentence's number in its block.
 HASH_BITS = 46
 #: The fit takes at most so many samples and landmarks of a language.

@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.llm import unify
-from quillstream.llm.unify import _IGNORED, CHUNK, _expand, _ranges, code_points
+from quillstream.llm.unify import _IGNORED, _expand, _ranges, code_points
 from quillstream.runtime import Workspace
 
 #: Words of a passage that count as a leak.
 WORDS = 10
 #: Code points of items searched in one pass over the documents; more take more passes.
 PASS_CHARS = 1 << 21
+#: Code points scanned at once (a longer text is still scanned whole).
+CHUNK_CHARS = 1 << 17
 #: Block length, and code points scanned by one cursor.
 BLOCK, LANE = 8, 2048
 #: Strings are searched in classes of similar length, as a short one would
@@ -296,7 +298,7 @@ def _scan(key: str, block: Broadcast, n_words: int):
             cps, off = code_points(batch.column(1))
             a = 0
             while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_CHARS, "right")) - 1)
                 hits = searches.found(cps[off[a] : off[b]], off[a : b + 1] - off[a])
                 if hits:
                     docs = batch.column(0).take(pa.array([a + d for d, _ in hits]))
