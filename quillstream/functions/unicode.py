@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-_SCALES = ((10**9, "billion"), (10**6, "million"), (10**3, "thousand"), (100, "hundred"))
+_SCALES = ((10**18, "quintillion"), (10**15, "quadrillion"), (10**12, "trillion"), (10**9, "billion"), (10**6, "million"), (10**3, "thousand"), (100, "hundred"))
 
 
 def _mapped(name: str, fn):
@@ -59,14 +59,15 @@ def _number_words(word: str) -> str:
     if not re.fullmatch(r"[0-9.,:\-]+", word):
         return word
     digits = re.sub(r"[.,:]", "", word)
-    return spoken(int(digits)) if re.fullmatch(r"-?[0-9]{1,12}", digits) else spoken(0)
+    n = int(digits) if re.fullmatch(r"-?[0-9]{1,19}", digits) else 0
+    return spoken(n if -(2**63) <= n < 2**63 else 0)
 
 
 _NUMBERS = _mapped("number_words", _number_words)
 
 
 def number_words(word: Column) -> Column:
-    """Words made of digits and . , : - as spoken numbers; others as they are. What isn't a number after all is zero."""
+    """Words made of digits and . , : - as spoken numbers; others as they are. What isn't a whole number of 64 bits after all is zero."""
     return _NUMBERS(word)
 
 

@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,3 +128,49 @@ def zip_files(files: dict[str, bytes]) -> bytes:
         for name, data in sorted(files.items()):
             z.writestr(name, data)
     return out.getvalue()
+
+
+@F.arrow_udf(T.BinaryType())
+def zipped(files: pa.Array) -> pa.Array:
+    """Archives of array<struct<name, text>> in a column (SNK-20)."""
+    rows = [None if x is None else zip_files({f["name"]: (f["text"] or "").encode() for f in x}) for x in files.to_pylist()]
+    return pa.array(rows, pa.binary())
+
+
+def highlighted(parts: Column) -> Column:
+    """HTML of array<struct<text, kind>>: a span with the kind as class around what has one (SNK-11).
+
+    Kinds of the proofing report are ``critical``, ``question``, ``gap`` and ``heard``.
+    """
+    safe = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p["kind"] != "", F.concat(F.lit("<span class="), p["kind"], F.lit(">"), safe(p["text"]), F.lit("</span>"))).otherwise(safe(p["text"]))), "")
+
+
+def status_json(status: Column, message: Column, trace: Column) -> Column:
+    """A status as a JSON line (SNK-09, REQ-14)."""
+    return F.to_json(F.struct(status.alias("status"), message.alias("message"), trace.alias("trace")))
+
+
+def status_csv(status: Column, message: Column, trace: Column) -> Column:
+    """A status as a CSV line, texts in quotes (SNK-09)."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.coalesce(x, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", status.cast("string"), quoted(message), quoted(trace))
+
+
+class Outputs:
+    """The files a run made, by kind (SNK-13)."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def add(self, path: str) -> str:
+        self.paths.append(path)
+        return path
+
+    def add_json(self, df: DataFrame, path: str) -> str:
+        """Records as JSON, one array a line of the written text."""
+        write_table(as_json(df), path, "text")
+        return self.add(path)
+
+    def by_ending(self, ending: str) -> list[str]:
+        return [p for p in self.paths if p.endswith(ending)]

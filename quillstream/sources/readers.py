@@ -126,16 +126,25 @@ def line_rows(rows: DataFrame) -> DataFrame:
     }).withColumns({"verse_num": X.leading_int(F.col("verse_str")), "verse_end": X.verse_range(F.col("verse_str"))["end"]})
 
 
+_DATA = "data array<struct<book_id:string, chapter:int, verse_start:int, verse_end:int, verse_text:string>>"
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], books: DataFrame, testaments: Sequence[str] = ("OT", "NT")) -> DataFrame:
     """``{"data": [...]}`` documents in the order of books, with a running number by book (SRC-12)."""
-    item = "book_id string, chapter int, verse_start int, verse_end int, verse_text string"
-    d = spark.read.schema(f"data array<struct<{item.replace(' ', ':').replace(',:', ', ')}>>").option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
+    return json_lines(spark.read.schema(_DATA).option("multiLine", True).json(path), books, testaments)
+
+
+def json_lines(documents: DataFrame, books: DataFrame, testaments: Sequence[str] = ("OT", "NT"), keys: Sequence[str] = ()) -> DataFrame:
+    """The same of documents in a column: ``data`` parsed, or ``json`` as text; ``keys`` tell texts apart."""
+    if "json" in documents.columns:
+        documents = documents.withColumn("data", F.from_json("json", _DATA)["data"])
+    d = documents.select(*keys, F.explode("data").alias("d")).select(*keys, "d.*")
     d = d.join(small_side(books.filter(F.col("testament").isin(*testaments)).select("book_id", "seq")), "book_id")
     same = F.col("verse_end").isNull() | (F.col("verse_end") == F.col("verse_start"))
     verse = F.when(same, F.col("verse_start").cast("string")).otherwise(F.concat_ws("-", "verse_start", "verse_end"))
-    n = F.row_number().over(W.partitionBy("book_id").orderBy("chapter", "verse_start"))
+    n = F.row_number().over(W.partitionBy(*keys, "book_id").orderBy("chapter", "verse_start"))
     text = F.replace(F.replace(F.col("verse_text"), F.lit("&lt"), F.lit("<")), F.lit("&gt"), F.lit(">"))
-    return d.select("seq", "book_id", F.col("chapter").alias("chapter_num"), verse.alias("verse_str"), F.col("verse_start").alias("verse_num"), n.cast("string").alias("script_num"), text.alias("script_text"))
+    return d.select(*keys, "seq", "book_id", F.col("chapter").alias("chapter_num"), verse.alias("verse_str"), F.col("verse_start").alias("verse_num"), n.cast("string").alias("script_num"), text.alias("script_text"))
 
 
 def _base(style: str) -> str:
@@ -332,7 +341,11 @@ def read_usx(spark: SparkSession, path: str | list[str], glob: str = "*.{usx,zip
 
 def read_xlsx(spark: SparkSession, path: str | list[str], glob: str = "*.{xlsx,xlsm}") -> DataFrame:
     """Script workbooks with any of the known headers; each is parsed where it is read, from any file system (SRC-06)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path if isinstance(path, str) else list(path)).select("path", "content")
+    return workbook_lines(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path if isinstance(path, str) else list(path)).select("path", "content"))
+
+
+def workbook_lines(files: DataFrame) -> DataFrame:
+    """Lines of workbooks given as path and content."""
     names = list(COLUMN_NAMES)
     schema = T.StructType([T.StructField("path", T.StringType()), *[T.StructField(c, T.StringType()) for c in names]])
 
@@ -357,18 +370,52 @@ def parse_usfm(text: Column) -> Column:
     return _usfm(text)
 
 
+def parse_usx(text: Column) -> Column:
+    """The same of USX in a column."""
+    return _usx(text)
+
+
 _ROW = T.StructType([f for f in LINES.fields if f.name not in ("path", "pos")])
 
 
+def _parsed(text: pa.Array, parse: Callable[[str], Iterator[tuple]]) -> pa.Array:
+    kind = pa.list_(pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in _ROW.fields]))
+    return pa.array([None if x is None else [dict(zip(_ROW.names, r)) for r in parse(x)] for x in text.to_pylist()], kind)
+
+
 @F.arrow_udf(T.ArrayType(_ROW))
 def _usfm(text: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in _ROW.fields]))
-    return pa.array([None if x is None else [dict(zip(_ROW.names, r)) for r in usfm_rows(x)] for x in text.to_pylist()], kind)
+    return _parsed(text, usfm_rows)
+
+
+@F.arrow_udf(T.ArrayType(_ROW))
+def _usx(text: pa.Array) -> pa.Array:
+    return _parsed(text, lambda x: usx_rows(x.encode()))
+
+
+_UNZIPPED = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())]))
+
+
+@F.arrow_udf(_UNZIPPED)
+def unzipped(archive: pa.Array) -> pa.Array:
+    """array<struct<name, content>> of zip archives in a column, by name, hidden files left out (SRC-39)."""
+    rows = []
+    for data in archive.to_pylist():
+        if data is None:
+            rows.append(None)
+            continue
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            rows.append([{"name": n, "content": z.read(n)} for n in sorted(z.namelist()) if not n.endswith("/") and not n.rpartition("/")[2].startswith(".")])
+    return pa.array(rows, pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())])))
 
 
 def read_timing(spark: SparkSession, path: str | list[str], with_zero: bool = True) -> DataFrame:
     """Tab-separated begin, end and verse; ``with_zero`` adds verse 0 before the first (SRC-20, SRC-31)."""
-    t = spark.read.schema("begin_ts double, end_ts double, verse string").option("sep", "\t").csv(path).withColumn("path", F.col("_metadata.file_path"))
+    return timing_rows(spark.read.schema("begin_ts double, end_ts double, verse string").option("sep", "\t").csv(path).withColumn("path", F.col("_metadata.file_path")), with_zero)
+
+
+def timing_rows(t: DataFrame, with_zero: bool = True) -> DataFrame:
+    """The same of rows of begin_ts, end_ts, verse and path."""
     t = t.withColumn("verse", F.coalesce(F.nullif(F.ltrim("verse", F.lit("0")), F.lit("")), F.lit("0")))
     if with_zero:
         t = t.unionByName(t.groupBy("path").agg(F.lit(0.0).alias("begin_ts"), F.min("begin_ts").alias("end_ts"), F.lit("0").alias("verse")))
@@ -405,32 +452,64 @@ def read_letter_times(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return d.select(F.chr(F.col("ch")).alias("letter"), "ts")
 
 
+def letter_times(response: Column) -> Column:
+    """array<struct<letter, ts>> of such JSON in a column."""
+    return F.transform(F.from_json(response, "array<struct<ch:int, ts:double>>"), lambda x: F.struct(F.chr(x["ch"]).alias("letter"), x["ts"].alias("ts")))
+
+
+def fragments(response: Column) -> Column:
+    """array<struct<id, begin_ts, end_ts, text>> of a line aligner's JSON in a column (SRC-18)."""
+    d = F.from_json(response, "fragments array<struct<id:string, begin:string, end:string, language:string, lines:array<string>>>")
+    return F.transform(d["fragments"], lambda f: F.struct(f["id"].alias("id"), f["begin"].try_cast("double").alias("begin_ts"), f["end"].try_cast("double").alias("end_ts"), F.concat_ws(" ", f["lines"]).alias("text")))
+
+
 def read_manifest(spark: SparkSession, path: str | list[str], ids: DataFrame, order: str, manifest: str = "manifest") -> DataFrame:
     """JSON-lines manifests, one a chapter, joined by position to the ids of their chapter (SRC-15); raises if lengths differ.
 
     ``ids`` names its file in ``manifest`` (no folders). Lines are numbered
     within their file, ids within their manifest, so no step sees all of either.
     """
+    m = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(manifest), "value")
+    out = manifest_lines(m, ids, order, manifest)
+    if not out.filter("not matched").isEmpty():
+        raise ValueError("manifest and ids differ in length")
+    return out.drop("matched")
+
+
+def manifest_lines(manifests: DataFrame, ids: DataFrame, order: str, manifest: str = "manifest") -> DataFrame:
+    """The same of whole manifests in a column ``value``; ``matched`` is false for what has no counterpart."""
     item = "audio_start_sec double, audio_filepath string, duration double, text string, normalized_text string, uroman_tokens string"
-    m = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(manifest), F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("rows"))
+    m = manifests.select(manifest, F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("rows"))
     m = m.select(manifest, F.posexplode("rows").alias("pos", "row")).select(manifest, (F.col("pos") + 1).alias("pos"), F.from_json("row", item).alias("m"))
     i = ids.withColumn("pos", F.row_number().over(W.partitionBy(manifest).orderBy(order)))
-    both = i.withColumn("__id", F.lit(True)).join(m, [manifest, "pos"], "full")
-    if not both.filter(F.col("__id").isNull() | F.col("m").isNull()).isEmpty():
-        raise ValueError("manifest and ids differ in length")
+    both = i.withColumn("__id", F.lit(True)).join(m, [manifest, "pos"], "full").withColumn("matched", F.col("__id").isNotNull() & F.col("m").isNotNull())
     return both.drop("__id").select("*", "m.*").drop("m").withColumns({"audio_start_sec": F.round("audio_start_sec", 3), "duration": F.round("duration", 3)})
 
 
 def read_known_errors(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Headerless reference, word_seq, word, type (SRC-28)."""
-    d = spark.read.schema("reference string, word_seq int, word string, type string").csv(path)
-    return d.withColumns({c: F.trim(c) for c in ("reference", "word", "type")})
+    return known_errors(spark.read.text(path))
+
+
+def known_errors(lines: DataFrame) -> DataFrame:
+    """The same of lines in a column ``value``."""
+    d = lines.withColumn("__r", F.from_csv("value", "reference string, word_seq string, word string, type string"))
+    rest = [c for c in lines.columns if c != "value"]
+    return d.select(*rest, F.trim("__r.reference").alias("reference"), F.trim("__r.word_seq").try_cast("int").alias("word_seq"), F.trim("__r.word").alias("word"), F.trim("__r.type").alias("type"))
+
+
+_FILESET = "struct<id:string, type:string, size:string, codec:string, container:string, bitrate:string>"
+_CATALOG = f"data struct<abbr:string, iso:string, language_id:int, books:array<struct<book_id:string, testament:string>>, filesets:map<string,array<{_FILESET}>>>"
 
 
 def read_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """File sets of catalog JSON, one row each (SRC-23, SRC-24, SRC-32)."""
-    item = "struct<id:string, type:string, size:string, codec:string, container:string, bitrate:string>"
-    d = spark.read.schema(f"data struct<abbr:string, iso:string, language_id:int, books:array<struct<book_id:string, testament:string>>, filesets:map<string,array<{item}>>>").option("multiLine", True).json(path)
+    """File sets of catalog JSON, one row each; a folder of pages is read as one (SRC-23, SRC-24, SRC-32)."""
+    return catalog_filesets(spark.read.schema(_CATALOG).option("multiLine", True).json(path))
+
+
+def catalog_filesets(documents: DataFrame) -> DataFrame:
+    """The same of documents in a column: ``data`` parsed, or ``json`` as text."""
+    d = documents.select(F.from_json("json", _CATALOG)["data"].alias("data")) if "json" in documents.columns else documents
     return d.select("data.abbr", "data.iso", F.explode("data.filesets").alias("site", "sets")).select("abbr", "iso", "site", F.posexplode("sets").alias("pos", "f")).select("abbr", "iso", "site", "pos", "f.*")
 
 
@@ -445,3 +524,49 @@ def choose_fileset(sets: DataFrame, types: Sequence[str], size: str, codec: str
         ok &= same_rate == ("64kbps" if bitrate == "3kbps" else bitrate)
     rank = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type"))
     return sets.filter(ok).withColumn("n", F.row_number().over(W.partitionBy("abbr", "site").orderBy(rank, "pos"))).filter("n = 1").drop("n")
+
+
+def available(sets: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Catalog entries that have a file set of every type (PRJ-31): abbr, iso."""
+    seen = sets.groupBy("abbr", "iso").agg(F.collect_set(F.when(F.col("type").isin(*types), F.col("type"))).alias("t"))
+    return seen.filter(F.size("t") == len(set(types))).select("abbr", "iso")
+
+
+def pair_list(documents: DataFrame, book_id: str = "", chapter_num: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of comparison JSON in a column ``json``, of one book and chapter if they are given (SRC-27).
+
+    Gives ``script_id`` (the base's, else the other's), book, chapter, both
+    texts and the number of differing characters.
+    """
+    side = "struct<script_id:long, book_id:string, chapter_num:int, text:string>"
+    d = documents.select(*keys, F.explode(F.from_json("json", f"array<struct<base:{side}, comp:{side}, n:long>>")).alias("p")).select(*keys, "p.*")
+    d = d.select(
+        *keys, F.coalesce(F.nullif("base.script_id", F.lit(0)), F.col("comp.script_id")).alias("script_id"), F.coalesce("base.book_id", "comp.book_id").alias("book_id"),
+        F.coalesce("base.chapter_num", "comp.chapter_num").alias("chapter_num"), F.coalesce("base.text", F.lit("")).alias("base_text"), F.coalesce("comp.text", F.lit("")).alias("comp_text"), "n",
+    )
+    d = d.filter(F.col("book_id") == book_id) if book_id else d
+    return d.filter(F.col("chapter_num") == chapter_num) if chapter_num else d
+
+
+def by_position(lines: DataFrame, columns: Sequence[str | None], sep: str = "\t", header: bool = False) -> DataFrame:
+    """Columns of separated lines (column ``value``, ``pos`` numbering them in their file) by position; None leaves one out (SRC-29)."""
+    parts = F.split("value", sep if len(sep) == 1 and sep not in "|.*+?^$()[]{}\\" else f"\\Q{sep}\\E", -1)
+    rest = [c for c in lines.columns if c != "value"]
+    rows = lines.filter("pos > 0") if header else lines
+    return rows.select(*rest, *[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns) if c])
+
+
+def language_nodes(lines: DataFrame) -> DataFrame:
+    """The language tree of JSON lines (column ``value``) as an adjacency list; empty parents are none (SRC-30)."""
+    d = lines.select(F.from_json("value", "id string, family_id string, parent_id string, lang_name string, node_kind string, iso639_3 string, iso639_1 string").alias("n")).select("n.*")
+    return d.withColumns({c: F.nullif(c, F.lit("")) for c in ("family_id", "parent_id")})
+
+
+def items_at(rows: DataFrame, index: str, wanted: Sequence[int]) -> DataFrame:
+    """Rows by their index, as a reader of stored samples fetches them (SRC-42)."""
+    return rows.filter(F.col(index).isin(*wanted))
+
+
+def query(spark: SparkSession, tables: dict[str, DataFrame], statement: str) -> DataFrame:
+    """A SQL statement over tables given by name (SRC-41)."""
+    return spark.sql(statement, **tables) if tables else spark.sql(statement)
