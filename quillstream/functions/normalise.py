@@ -89,3 +89,21 @@ def folders(files: DataFrame, folder: str, category: str) -> DataFrame:
     """Files counted by folder; ``mixed`` if a folder holds several categories (AGG-34)."""
     g = files.groupBy(folder).agg(F.count(F.lit(1)).alias("n_files"), F.min(category).alias("category"), F.max(category).alias("__other"))
     return g.withColumn("mixed", F.col("category") != F.col("__other")).drop("__other")
+
+
+def unfit(vector: Column) -> Column:
+    """Why a vector can't be used: ``empty``, ``nan`` or ``infinite``; '' if it can (MTH-06)."""
+    has = lambda test: F.exists(vector, test)
+    return (
+        F.when(vector.isNull() | (F.size(vector) == 0), "empty").when(has(lambda x: x.isNull() | F.isnan(x)), "nan").when(has(lambda x: F.abs(x) == float("inf")), "infinite").otherwise("")
+    )
+
+
+def matrix_json(matrix: Column) -> Column:
+    """A matrix as JSON text (MTH-08)."""
+    return F.to_json(matrix)
+
+
+def matrix_of(text: Column) -> Column:
+    """A matrix of JSON text (MTH-08)."""
+    return F.from_json(text, "array<array<double>>")

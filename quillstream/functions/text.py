@@ -162,3 +162,8 @@ def audio_name(name: Column) -> Column:
         F.regexp_extract(name, p, 3).try_cast("int").alias("chapter"),
         F.regexp_extract(name, p, 4).alias("media_id"),
     )
+
+
+def marker_errors(text: Column) -> Column:
+    """The braces of a text that belong to no verse marker, as a text; '' if all do (STR-10)."""
+    return F.regexp_replace(F.regexp_replace(text, r"\{\d+(?:-\d+)?\}(?:_\{\d+\})*", ""), r"[^{}]+", "")

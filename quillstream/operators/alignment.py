@@ -150,3 +150,14 @@ def long_gap_places(gaps: Column, limit: float) -> Column:
 def with_word_spaces(words: Column) -> Column:
     """Letters of words, with a space before each word but the first (DIF-11)."""
     return F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.concat(F.array(F.lit(" ")), F.split(w, ""))).otherwise(F.split(w, ""))))
+
+
+@F.arrow_udf(_SPANS)
+def _runs(path: pa.Array) -> pa.Array:
+    rows = [None if p is None else [dict(zip(("token", "first", "last"), s)) for s in collapse(p)] for p in path.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("token", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])))
+
+
+def frame_runs(path: Column) -> Column:
+    """array<struct<token, first, last>> of the runs of a path of frames, blanks too (DIF-16)."""
+    return _runs(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstream.functions import text as X
 from quillstream.runtime import Workspace
 
 
@@ -68,3 +69,20 @@ def overwrite_filled(old: DataFrame, new: DataFrame, keys: Sequence[str], column
     n = new.select(*keys, *[F.col(x).alias(f"__new_{x}") for x in columns])
     out = old.join(n, list(keys), "left")
     return out.withColumns({x: F.coalesce(F.nullif(f"__new_{x}", F.lit("")), x) for x in columns}).select(*old.columns)
+
+
+def prepared_lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """New lines as they are stored: the verse's range parsed, script numbers filled with zeros, texts joined, and whether the key is held twice (DML-01).
+
+    ``rows`` has ``verse_str``, ``script_num``, an array ``texts`` and the keys.
+    """
+    r = X.verse_range(F.col("verse_str"))
+    out = rows.withColumns({"verse_str": r["begin"], "verse_end": r["end"], "script_num": X.zero_fill(F.col("script_num")), "script_text": X.smart_join(F.col("texts"))}).drop("texts")
+    out = out.withColumn("verse_num", X.leading_int(F.col("verse_str")))
+    return out.withColumn("is_duplicate", F.count(F.lit(1)).over(W.partitionBy(*keys)) > 1)
+
+
+def erased(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables with the lines' texts blanked and nothing left of what was made from them (DML-07)."""
+    out = {n: t.limit(0) for n, t in tables.items() if n != "scripts"}
+    return out | {"scripts": tables["scripts"].withColumn("script_text", F.lit(""))}

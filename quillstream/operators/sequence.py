@@ -132,3 +132,26 @@ def frame_slice(matrix: Column, begin: Column, end: Column, rate: float) -> Colu
     start = F.floor(begin * rate + 0.5).cast("int")
     stop = F.when(end == 0, F.size(matrix)).otherwise(F.floor(end * rate + 0.5)).cast("int")
     return F.slice(matrix, start + 1, F.greatest(stop - start, F.lit(0)))
+
+
+def referenced_verses(samples: DataFrame, reference: str, prefix: Column, keys: Sequence[str], word: str = "word", word_id: str = "word_id", line: str = "script_id") -> DataFrame:
+    """Samples whose ``BOOK chapter:verse.word`` reference begins with ``prefix``, grouped to verses: keys, verse_str, line, words in order (PRJ-20).
+
+    References of another form are left out; the line is the smallest of the
+    verse's, and words of one number follow by id.
+    """
+    place = F.regexp_extract(reference, r"^[^:]*:([^:.]+)\.([0-9]+)$", 1)
+    number = F.regexp_extract(reference, r"^[^:]*:([^:.]+)\.([0-9]+)$", 2).try_cast("long")
+    own = samples.filter(F.startswith(F.col(reference), prefix)).withColumns({"verse_str": place, "__n": number}).filter("verse_str <> '' and __n is not null")
+    got = own.groupBy(*keys, "verse_str").agg(F.min(line).alias(line), F.array_sort(F.collect_list(F.struct("__n", word_id, word))).alias("w"))
+    return got.select(*keys, "verse_str", line, F.transform("w", lambda r: r[word]).alias("words"))
+
+
+def padded_batches(samples: DataFrame, keys: Sequence[str], values: str, labels: str) -> DataFrame:
+    """Samples with values padded with 0 and labels padded with -100 to the longest of their batch, and the values' mask (MTH-05, UDF-19)."""
+    longest = samples.groupBy(*keys).agg(F.max(F.size(values)).alias("__v"), F.max(F.size(labels)).alias("__l"))
+    rest = lambda c, n: F.greatest(F.col(n) - F.size(c), F.lit(0))
+    out = samples.join(longest, list(keys))
+    out = out.withColumn("mask", F.concat(F.array_repeat(F.lit(1), F.size(values)), F.array_repeat(F.lit(0), rest(values, "__v"))))
+    out = out.withColumns({values: F.concat(values, F.array_repeat(F.lit(0.0), rest(values, "__v"))), labels: F.concat(labels, F.array_repeat(F.lit(-100), rest(labels, "__l")))})
+    return out.drop("__v", "__l")

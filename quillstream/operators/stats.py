@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillstream.runtime import Workspace
+
 # The probabilities of the score report.
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999, 0.9999)
 
@@ -27,12 +29,20 @@ def moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 def quantiles(df: DataFrame, keys: Sequence[str], x: str, at: Sequence[float] = QUANTILES) -> DataFrame:
     """Exact empirical quantiles (an occurring value), one row for each probability (AGG-05, AGG-07, SRT-04).
 
-    From counts of distinct values: a group is never gathered in one task
-    before it is reduced to its distinct values.
+    From counts of distinct values, ranked by ranges of the values: a group is
+    never gathered in one task.
     """
     n = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     w = W.partitionBy(*keys)
-    n = n.withColumn("__upto", F.sum("__n").over(w.orderBy("__x").rowsBetween(W.unboundedPreceding, 0))).withColumn("__total", F.sum("__n").over(w))
+    # Ranks by ranges: a window holds one range of one group, and what comes before it is one row a range.
+    n = n.repartitionByRange(*keys, "__x").withColumn("__range", F.spark_partition_id())
+    n = Workspace(df.sparkSession, "quantiles").put(n)
+    ranges = n.groupBy(*keys, "__range").agg(F.sum("__n").alias("__own"))
+    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__own").over(w.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("__total", F.sum("__own").over(w)).drop("__own")
+    named = [*keys, "__range"]
+    ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(named)], "__before", "__total")
+    n = n.join(ranges, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(named)]).drop(*[f"__k{i}" for i in range(len(named))])
+    n = n.withColumn("__upto", F.col("__before") + F.sum("__n").over(W.partitionBy(*named).orderBy("__x").rowsBetween(W.unboundedPreceding, 0)))
     n = n.withColumn("p", F.explode(F.array(*[F.lit(float(v)) for v in at])))
     return n.filter(F.col("__upto") >= F.ceil(F.col("p") * F.col("__total"))).groupBy(*keys, "p").agg(F.min("__x").alias("value"))
 
