@@ -66,7 +66,7 @@ def align_letters(audio: Sequence[tuple[str, float]], text: Sequence[tuple[int,
     return out
 
 
-def guided_search(frames: Sequence[Sequence[float]], target: Sequence[int], blank: int = 0, width: int = 16, match: float = 1.0, skip: float = 2.0, insert: float = 1.5, look: int = 2) -> list[int]:
+def guided_search(frames: Sequence[list[float]], target: Sequence[int], blank: int = 0, width: int = 16, match: float = 1.0, skip: float = 2.0, insert: float = 1.5, look: int = 2) -> list[int]:
     """Tokens heard in frames of log scores, guided by the expected ones (DIF-19, SRT-06).
 
     A hypothesis may stay (blank or the same token), take the next expected
@@ -75,30 +75,44 @@ def guided_search(frames: Sequence[Sequence[float]], target: Sequence[int], blan
     tokens a blank is needed. The best ``width`` hypotheses go on; ties go to
     the earlier place in the target.
     """
-    beam: dict[tuple[int, int, tuple[int, ...]], float] = {(0, blank, ()): 0.0}
+    # What a hypothesis has said is a node: the node before and one token more; node 0 is nothing.
+    before, tokens, nodes = [0], [blank], {}
+
+    def said(node: int, token: int) -> int:
+        new = nodes.setdefault((node, token), len(before))
+        if new == len(before):
+            before.append(node)
+            tokens.append(token)
+        return new
+
+    beam: dict[tuple[int, int, int], float] = {(0, blank, 0): 0.0}
     for f in frames:
-        best_other = max(range(len(f)), key=lambda t: (f[t], -t)) if f else blank
-        new: dict[tuple[int, int, tuple[int, ...]], float] = {}
+        best_other = f.index(max(f)) if f else blank
+        new: dict[tuple[int, int, int], float] = {}
 
         def put(key, score):
             if score > new.get(key, float("-inf")):
                 new[key] = score
 
-        for (at, last, said), score in beam.items():
-            put((at, blank, said), score + f[blank])
+        for (at, last, node), score in beam.items():
+            put((at, blank, node), score + f[blank])
             if last != blank:
-                put((at, last, said), score + f[last])
+                put((at, last, node), score + f[last])
             for left_out in range(look + 1):
                 k = at + left_out
                 if k < len(target) and target[k] != last:
-                    put((k + 1, target[k], (*said, target[k])), score + f[target[k]] + match - skip * left_out)
+                    put((k + 1, target[k], said(node, target[k])), score + f[target[k]] + match - skip * left_out)
             if best_other not in (blank, last):
-                put((at, best_other, (*said, best_other)), score + f[best_other] - insert)
+                put((at, best_other, said(node, best_other)), score + f[best_other] - insert)
         beam = dict(heapq.nlargest(width, new.items(), key=lambda kv: (kv[1], -kv[0][0])))
     if not beam:
         return []
     end = lambda kv: kv[1] - skip * (len(target) - kv[0][0])
-    return list(max(beam.items(), key=lambda kv: (end(kv), -kv[0][0]))[0][2])
+    node, out = max(beam.items(), key=lambda kv: (end(kv), -kv[0][0]))[0][2], []
+    while node:
+        out.append(tokens[node])
+        node = before[node]
+    return out[::-1]
 
 
 @F.arrow_udf(_SPANS)

@@ -199,8 +199,8 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def guided_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens found in frames of scores by the search that knows the text (DIF-19, SRT-06)."""
-    p = _paths(spark, sf_dir)
-    frames = F.transform("path", lambda t: F.transform(F.sequence(F.lit(0), F.lit(26)), lambda k: F.when(k == t, 0.0).otherwise(-9.0)))
+    p = _paths(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "word_id")  # the search costs far more than its bytes
+    frames = F.transform("path", lambda t: F.array(*[F.when(t == k, 0.0).otherwise(-9.0) for k in range(27)]))
     h = p.select("word_id", F.posexplode(A.heard_tokens(frames, F.col("target"))).alias("pos", "token"))
     return h.select("word_id", *_long("pos", "token"))
 

@@ -76,7 +76,7 @@ def url_file(url: Column) -> Column:
 def oldest(listing: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The entry modified first, of each key; the smallest path on ties (SRT-07, SRC-40)."""
     rest = [c for c in listing.columns if c not in keys]
-    return listing.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("modified", "path")).alias("r")).select(*keys, "r.*")
+    return listing.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("modified", "path")).alias("r")).filter(F.col("r").isNotNull()).select(*keys, "r.*")
 
 
 def aligner_key(book: Column, seq: Column, chapter: Column, before: int = 0) -> Column:
