@@ -12,7 +12,7 @@ from quillstream.operators import diff as D
 from quillstream.operators import graph as G
 from quillstream.operators import mutations as M
 from quillstream.operators.versions import current_rows
-from quillstream.plans.current_sql import sql
+from quillstream.plans.current_sql import plain_width, sql
 from quillstream.runtime import small_side, table
 
 TOOLS = ("espeak", "mms_asr", "mms_lid", "mms_tts", "whisper")
@@ -111,6 +111,7 @@ QUERIES = {f.__name__: f for f in (pair_lengths, pair_diffs, common_patterns, ro
 _CLEAN = r"""trim(lower(regexp_replace({0}, '<<|>>|\(\(|[†\[\]<>]|[,;:.!?~]|["“”«»]|[''ꞌ‘’]|[-‐‑‒–—―﹘﹢﹣－]', '', 'g')), ' ')"""
 ORACLE = {
     "pair_lengths": sql(f"SELECT script_id, length({_CLEAN.format('script_text')}) AS base_len, length({_CLEAN.format('heard')}) AS comp_len FROM s JOIN (SELECT script_id, string_agg(coalesce(word, ''), '' ORDER BY word_seq, word_id) AS heard FROM w WHERE script_id IS NOT NULL GROUP BY script_id) USING (script_id) WHERE script_text IS NOT NULL"),
+    "roman_choice": sql(f"SELECT script_id, CASE WHEN alphabet = 'Latn' THEN script_text ELSE coalesce(nullif(uroman, ''), lower(strip_accents({plain_width('script_text')}))) END AS text FROM s LEFT JOIN (SELECT dataset_id, alphabet FROM ident) USING (dataset_id)"),
     "nearest_node": "WITH RECURSIVE up AS (SELECT id AS node_id, id AS anc, parent_id, 0 AS d FROM languages UNION ALL SELECT node_id, l.id, l.parent_id, d + 1 FROM up JOIN languages l ON l.id = up.parent_id), has AS (UNPIVOT (SELECT id AS found_id, espeak, mms_asr, mms_lid, mms_tts, whisper FROM languages) ON espeak, mms_asr, mms_lid, mms_tts, whisper INTO NAME tool VALUE code), p AS (SELECT a.node_id, tool, found_id, min(a.d + b.d) AS distance FROM up a JOIN up b USING (anc) JOIN has ON has.found_id = b.node_id WHERE code <> '' GROUP BY ALL) SELECT node_id, tool, found_id, distance FROM p QUALIFY distance = min(distance) OVER (PARTITION BY node_id, tool)",
     "upsert_lines": sql("SELECT script_id, dataset_id, CASE WHEN verse_str <> '0' THEN 'new' ELSE 'old' END AS state, verse_str FROM s"),
     "keyed_update": sql("SELECT script_id, coalesce(b, script_begin_ts) AS script_begin_ts, coalesce(e, script_end_ts) AS script_end_ts FROM s LEFT JOIN (SELECT script_id, min(word_begin_ts) AS b, max(word_end_ts) AS e FROM w WHERE ttype = 'W' AND word_end_ts > 0 AND NOT isnan(word_end_ts) AND script_id IS NOT NULL GROUP BY script_id) USING (script_id)"),

@@ -9,7 +9,7 @@ from quillstream.functions import normalise as N
 from quillstream.functions import text as X
 from quillstream.model import letters, lines, tokens
 from quillstream.operators import alignment as A
-from quillstream.plans.current_sql import sql
+from quillstream.plans.current_sql import plain_width, sql
 from quillstream.runtime import table
 
 
@@ -52,7 +52,10 @@ def recording_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (audio_windows, letter_alignment, normalised_lines, padded_vectors, recording_folders)}
+_WHITE = r"[\t\n\x{000B}\x{000C}\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_LOWER = rf"regexp_replace(lower(nfc_normalize({plain_width('script_text')})), '\([^()]*\d[^()]*\)', ' ', 'g')"
 ORACLE = {
+    "normalised_lines": sql(rf"SELECT script_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(CASE WHEN alphabet = 'Cyrl' THEN replace({_LOWER}, 'ё', 'е') ELSE {_LOWER} END, '[\p{{P}}\p{{S}}]', ' ', 'g'), '{_WHITE}+'), lambda x: x <> '' AND NOT regexp_full_match(x, '\d+')), ' ') AS text FROM s LEFT JOIN (SELECT dataset_id, alphabet FROM ident) USING (dataset_id) WHERE script_text IS NOT NULL UNION ALL SELECT script_id, NULL FROM s WHERE script_text IS NULL"),
     "audio_windows": sql("SELECT dataset_id, audio_file, pos, round(greatest(pos * 30 - 3.0, 0), 6) AS begin_ts, round(least((pos + 1) * 30.0, total), 6) AS end_ts FROM (SELECT dataset_id, audio_file, total, unnest(range(0, greatest(ceil(total / 30), 1)::BIGINT)) AS pos FROM (SELECT dataset_id, audio_file, max(script_end_ts) AS total FROM s WHERE audio_file <> '' AND NOT isnan(script_end_ts) GROUP BY ALL) WHERE total > 0)"),
     "padded_vectors": "SELECT vec_id, greatest(80, len(embedding)) AS width, len(embedding) AS n_true, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings",
     "recording_folders": sql("SELECT dataset_id, count(*) AS n_files, min(kind) AS category, min(kind) <> max(kind) AS mixed FROM (SELECT DISTINCT dataset_id, audio_file, CASE WHEN regexp_matches(lower(audio_file), '\\.(mp3|wav|opus|m4a)$') THEN 'audio' ELSE 'unknown' END AS kind FROM s WHERE audio_file <> '') GROUP BY dataset_id"),

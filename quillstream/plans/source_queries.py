@@ -112,10 +112,15 @@ def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (usfm_verses, csv_rows, asr_lines, active_columns, wide_vectors, matrix_export, vector_columns, matrix_columns, chapter_file_map, messages, stream_hours, stream_sessions, request_plan)}
 
 _CSV = r"(?s)^([^;]*);([^;]*);([^;]*);\"(.*)\"$"
+_SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_TEXTS = ("book_id", "verse_str", "verse_end", "audio_file", "script_num", "usfm_style", "person", "actor", "script_text", "uroman")
+_NUMBERS = ("script_id", "dataset_id", "chapter_num", "chapter_end", "verse_num", "script_begin_ts", "script_end_ts", "fa_score")
 ORACLE = {
+    "active_columns": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name WHERE EXISTS (SELECT 1 FROM s WHERE {c} <> {z})" for cs, z in ((_TEXTS, "''"), (_NUMBERS, "0")) for c in cs)),
     "csv_rows": f"SELECT doc_id, pos - 1 AS pos, CASE WHEN ok THEN upper(trim(regexp_extract(line, '{_CSV}', 1))) ELSE upper(trim(line)) END AS book_id, try_cast(nullif(regexp_extract(line, '{_CSV}', 2), '') AS BIGINT) AS chapter_num, CASE WHEN ok THEN regexp_extract(line, '{_CSV}', 3) END AS verse_str, coalesce(try_cast(nullif(regexp_extract(line, '{_CSV}', 3), '') AS BIGINT), 0) AS verse_num, CASE WHEN ok THEN regexp_extract(line, '{_CSV}', 4) END AS script_text, try_cast(nullif(regexp_extract(line, '{_CSV}', 2), '') AS BIGINT) IS NULL AS bad FROM (SELECT *, regexp_matches(line, '{_CSV}') AS ok FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '(?:[^\"\n]|\"[^\"]*\")+') AS p FROM documents WHERE fmt = 'csv' AND text <> '')))",
     "stream_sessions": "SELECT user_id, min(ts) AS begin_at, max(ts) + INTERVAL 30 MINUTE AS end_at, count(*) AS n FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR",
-    "usfm_verses": r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, book_id, chapter_num, verse_str, script_text FROM (SELECT doc_id, k, upper(regexp_extract(text, '\\id (\S{1,3})', 1)) AS book_id, coalesce(try_cast(nullif(regexp_extract(text, '\\c (\d+)', 1), '') AS BIGINT), 1) AS chapter_num, regexp_extract(v, '^\\v (\S+)', 1) AS verse_str, trim(regexp_replace(regexp_replace(regexp_replace(v, '^\\v \S+', ''), '[\s\x{00A0}\x{2002}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), '^ | $', '', 'g')) AS script_text FROM (SELECT doc_id, text, unnest(vs) AS v, generate_subscripts(vs, 1) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '\\v [^\\]*') AS vs FROM documents WHERE fmt = 'usfm'))) WHERE script_text <> '' UNION ALL SELECT doc_id, 0, '', 1, '0', x FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x{00A0}\x{2002}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS x FROM documents WHERE fmt = 'usfm' AND NOT contains(text, chr(92))) WHERE x <> ''",
+    # Chapters and verses in the order of their marks: the last chapter mark before a verse tells its chapter.
+    "usfm_verses": rf"WITH m AS (SELECT doc_id, upper(regexp_extract(text, '\\id (\S{{1,3}})', 1)) AS book_id, unnest(ms) AS v, generate_subscripts(ms, 1) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '\\[cv] [^\\]*') AS ms FROM documents WHERE fmt = 'usfm')), c AS (SELECT *, coalesce(last_value(try_cast(nullif(regexp_extract(v, '^\\c (\d+)', 1), '') AS BIGINT) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS chapter_num FROM m), t AS (SELECT doc_id, book_id, chapter_num, k, regexp_extract(v, '^\\v (\S+)', 1) AS verse_str, trim(regexp_replace(regexp_replace(v, '^\\v \S+', ''), '{_SPACE}+', ' ', 'g')) AS script_text FROM c WHERE v LIKE '\v %') SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, book_id, chapter_num, verse_str, script_text FROM t WHERE script_text <> '' UNION ALL SELECT doc_id, 0, '', 1, '0', x FROM (SELECT doc_id, trim(regexp_replace(text, '{_SPACE}+', ' ', 'g')) AS x FROM documents WHERE fmt = 'usfm' AND NOT contains(text, chr(92))) WHERE x <> ''",
     "asr_lines": r"SELECT doc_id, pos, begin_ts, coalesce(lead(begin_ts) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS end_ts, CASE WHEN begin_ts IS NULL THEN line ELSE regexp_extract(line, '^\[([0-9]+\.[0-9]+)\] ?(.*)$', 2) END AS script_text FROM (SELECT doc_id, pos - 1 AS pos, line, try_cast(nullif(regexp_extract(line, '^\[([0-9]+\.[0-9]+)\] ?(.*)$', 1), '') AS DOUBLE) AS begin_ts FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE fmt = 'asr' AND text <> '')) WHERE line <> '')",
     "wide_vectors": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 5) AS v{i}" for i in range(4)) + " FROM embeddings",
     "matrix_export": sql("SELECT word_id, k - 1 AS line, CASE WHEN k = 1 THEN n_rows END AS n_rows, CASE WHEN k = 1 THEN n_cols END AS n_cols, len(r) AS width FROM (SELECT word_id, n_rows, n_cols, unnest(mfcc) AS r, generate_subscripts(mfcc, 1) AS k FROM m)"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as X
 from quillstream.functions import unicode as U
 from quillstream.model import lines, tokens
-from quillstream.plans.current_sql import sql
+from quillstream.plans.current_sql import plain_width, sql
 from quillstream.runtime import table
 
 
@@ -112,6 +112,10 @@ _TOKEN = r"(?s)\{\d+\}(?:_\{\d+\})*|[\p{L}\p{N}]+(?:[^\p{L}\p{N}\s{][\p{L}\p{N}]
 _TYPE = r"CASE WHEN t LIKE '{%' AND length(t) > 1 THEN 'V' WHEN regexp_matches(t, '^\s') THEN 'S' WHEN regexp_matches(t, '^[\p{L}\p{N}]') THEN 'W' ELSE 'P' END"
 _BARE = r"""lower(regexp_replace(script_text, '<<|>>|\(\(|[†\[\]<>]|[,;:.!?~]|["“”«»]|[''ꞌ‘’]|[-‐‑‒–—―﹘﹢﹣－]', '', 'g'))"""
 _EVEN = '"' + "''" * 6 + "-" * 10
+_UNITS = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+_TENS = "['','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+_BELOW_100 = f"CASE WHEN {{0}} < 20 THEN {_UNITS}[{{0}} + 1] WHEN {{0}} % 10 = 0 THEN {_TENS}[{{0}} // 10] ELSE {_TENS}[{{0}} // 10] || '-' || {_UNITS}[{{0}} % 10 + 1] END"
+_HUNDREDS = f"(CASE WHEN {{0}} < 100 THEN {_BELOW_100} WHEN {{0}} % 100 = 0 THEN {_UNITS}[{{0}} // 100 + 1] || ' hundred' ELSE {_UNITS}[{{0}} // 100 + 1] || ' hundred ' || {_BELOW_100.format('({0} % 100)')} END)"
 ORACLE = {
     "word_tokens": sql(
         "SELECT script_id, k AS word_seq, ttype, t AS token, coalesce(last_value(CASE WHEN ttype = 'V' THEN regexp_extract(t, '\\d+')::BIGINT END IGNORE NULLS) OVER (PARTITION BY script_id ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS verse_num FROM u",
@@ -119,6 +123,8 @@ ORACLE = {
     ),
     "word_freq_topk": f"WITH x AS (SELECT lang, unnest(regexp_extract_all(text, '{_TOKEN}')) AS t FROM documents), n AS (SELECT lang, lower(t) AS word, count(*) AS n FROM x WHERE {_TYPE} = 'W' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM n QUALIFY place <= 10",
     "text_cleanup": sql(rf"SELECT script_id, regexp_replace({_BARE}, '\{{[0-9\-,]+\}}\s?', '', 'g') AS bare, translate(script_text, '«ꞌ‘’ʼ′´‐‑‒–—―﹘﹢﹣－', '{_EVEN}') AS evened FROM s"),
+    "text_strip_marks": sql(f"SELECT script_id, lower(strip_accents({plain_width('script_text')})) AS plain FROM s"),
+    "spoken_numbers": sql(f"SELECT word_id, CASE WHEN NOT regexp_full_match(x, '[0-9.,:-]+') THEN x WHEN n IS NULL THEN 'zero' WHEN n < 1000 THEN {_HUNDREDS.format('n')} WHEN n % 1000 = 0 THEN {_HUNDREDS.format('(n // 1000)')} || ' thousand' ELSE {_HUNDREDS.format('(n // 1000)')} || ' thousand ' || {_HUNDREDS.format('(n % 1000)')} END AS spoken FROM (SELECT word_id, x, try_cast(regexp_replace(x, '[.,:]', '', 'g') AS BIGINT) AS n FROM (SELECT word_id, regexp_replace(word, '[{{}}_]', '', 'g') AS x FROM w WHERE ttype = 'V'))"),
     "text_cleanup_nfc": sql(f"SELECT script_id, nfc_normalize({_BARE}) AS bare FROM s"),
     "plain_words": sql("SELECT script_id, plain, regexp_replace(regexp_replace(regexp_replace(plain, '(.)', '\\1 ', 'g'), ' +', ' ', 'g'), ' $', '') AS spaced FROM (SELECT script_id, trim(regexp_replace(regexp_replace(lower(replace(uroman, '’', '''')), '[^a-z'' ]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM s)"),
     "line_references": sql(
