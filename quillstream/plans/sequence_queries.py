@@ -230,7 +230,8 @@ def feature_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tokens(spark, sf_dir, "word_begin_ts", "word_end_ts").filter(known(F.col("word_end_ts")) & (F.col("word_end_ts") > F.col("word_begin_ts")))
     half = F.round((F.col("word_end_ts") - F.col("word_begin_ts")) / 2, 3)
     f = features(spark, sf_dir).join(w, "word_id").withColumn("part", Q.frame_slice(F.col("mfcc"), F.lit(0.0), half, 20.0))
-    return f.select("word_id", F.size("part").cast("long").alias("n_frames"))
+    total = F.aggregate(F.flatten("part"), F.lit(0).cast("long"), lambda a, x: a + F.floor(x.cast("double") * 1000))
+    return f.select("word_id", F.size("part").cast("long").alias("n_frames"), total.alias("total"))
 
 
 def headed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +345,7 @@ ORACLE = {
     "widest_gaps": sql("SELECT script_id, arg_max(word_id, struct_pack(a := raised, b := -word_id)) AS word_id, max(raised) AS raised FROM q GROUP BY script_id ORDER BY raised DESC, script_id LIMIT 400", _WGAPS),
     "midpoints": sql(f"SELECT script_id, round(coalesce((script_begin_ts + lag(script_end_ts) OVER o) / 2, 0), 6) AS mid_begin, round(coalesce((lead(script_begin_ts) OVER o + script_end_ts) / 2, max(script_end_ts) OVER (PARTITION BY dataset_id, audio_file)), 6) AS mid_end FROM s WHERE audio_file <> '' AND {_OK.format('script_end_ts')} AND script_end_ts <> 0 AND {_OK.format('script_begin_ts')} WINDOW o AS (PARTITION BY dataset_id, audio_file ORDER BY script_begin_ts, script_id)"),
     "next_begins": sql(f"SELECT script_id, coalesce(lead(script_begin_ts) OVER (PARTITION BY dataset_id, book_id, chapter_num ORDER BY script_id), 0) AS end_ts FROM s WHERE {_OK.format('script_begin_ts')}"),
-    "feature_slices": sql(f"SELECT word_id, least(len(mfcc), greatest(floor(round((word_end_ts - word_begin_ts) / 2, 3) * 20 + 0.5), 0))::BIGINT AS n_frames FROM m JOIN w USING (word_id) WHERE {_OK.format('word_end_ts')} AND word_end_ts > word_begin_ts AND round((word_end_ts - word_begin_ts) / 2, 3) <> 0"),
+    "feature_slices": sql(f"SELECT word_id, n_frames, coalesce(list_sum(list_transform(flatten(mfcc[1:n_frames]), lambda x: floor(x::DOUBLE * 1000))), 0)::BIGINT AS total FROM (SELECT word_id, mfcc, least(len(mfcc), greatest(floor(round((word_end_ts - word_begin_ts) / 2, 3) * 20 + 0.5), 0))::BIGINT AS n_frames FROM m JOIN w USING (word_id) WHERE {_OK.format('word_end_ts')} AND word_end_ts > word_begin_ts AND round((word_end_ts - word_begin_ts) / 2, 3) <> 0)"),
     "headed_lines": sql(
         "SELECT dataset_id, book_id, chapter_num, script_id, kind, row_number() OVER (PARTITION BY dataset_id, book_id ORDER BY script_id, rank) AS line_no FROM (SELECT dataset_id, book_id, chapter_num, script_id, 2 AS rank, 'line' AS kind FROM p UNION ALL SELECT dataset_id, book_id, chapter_num, script_id, 0, 'title' FROM p WHERE prev IS NULL UNION ALL SELECT dataset_id, book_id, chapter_num, script_id, 1, 'heading' FROM p WHERE coalesce(prev, 1) <> chapter_num)",
         "p AS (SELECT *, lag(chapter_num) OVER (PARTITION BY dataset_id, book_id ORDER BY script_id) AS prev FROM s)",

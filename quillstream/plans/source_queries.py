@@ -48,18 +48,6 @@ def active_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in K.active_columns(t).columns], "column_name string")
 
 
-def wide_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first coordinates of vectors as columns (SNK-01, SNK-06)."""
-    w = K.wide_vector(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "v", 4)
-    return w.select("vec_id", *[F.round(F.col(f"v{i}").cast("double"), 5).alias(f"v{i}") for i in range(4)])
-
-
-def matrix_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matrices one line a row, the sizes on the first (SNK-01, SNK-03)."""
-    m = K.matrix_rows(features(spark, sf_dir), "word_id", "mfcc", ["n_rows", "n_cols"])
-    return m.select("word_id", F.col("line").cast("long").alias("line"), F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), F.size("cells").cast("long").alias("width"))
-
-
 def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All coordinates of vectors as columns (SNK-01, SNK-06)."""
     t = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -74,16 +62,15 @@ def matrix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of entries and size of each dataset's map from chapters to files (SNK-17)."""
+    """Each dataset's map from chapters to files, as JSON (SNK-17)."""
     t = lines(spark, sf_dir, "dataset_id", "book_id", "chapter_num", "audio_file").filter("audio_file <> ''").groupBy("dataset_id", "book_id", "chapter_num").agg(F.max("audio_file").alias("audio_file"))
-    m = K.file_map(t, "book_id", "chapter_num", "audio_file")
-    return m.select("dataset_id", F.size(F.map_keys(F.from_json("files", "map<string,string>"))).cast("long").alias("n_chapters"))
+    return K.file_map(t, "book_id", "chapter_num", "audio_file")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue messages of documents' headers with content keys (SNK-16)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
-    return K.queue_messages(d.select("source", "text_key"), "source").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("message_id").alias("n_distinct"))
+    """Queue messages of documents' headers with content keys, repeats counted (SNK-16)."""
+    d = table(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
+    return K.queue_messages(d, "source").groupBy("group", "message_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +96,7 @@ def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "dataset_id long, language_iso string, status string")
 
 
-QUERIES = {f.__name__: f for f in (usfm_verses, csv_rows, asr_lines, active_columns, wide_vectors, matrix_export, vector_columns, matrix_columns, chapter_file_map, messages, stream_hours, stream_sessions, request_plan)}
+QUERIES = {f.__name__: f for f in (usfm_verses, csv_rows, asr_lines, active_columns, vector_columns, matrix_columns, chapter_file_map, messages, stream_hours, stream_sessions, request_plan)}
 
 _CSV = r"(?s)^([^;]*);([^;]*);([^;]*);\"(.*)\"$"
 _SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
@@ -122,12 +109,10 @@ ORACLE = {
     # Chapters and verses in the order of their marks: the last chapter mark before a verse tells its chapter.
     "usfm_verses": rf"WITH m AS (SELECT doc_id, upper(regexp_extract(text, '\\id (\S{{1,3}})', 1)) AS book_id, unnest(ms) AS v, generate_subscripts(ms, 1) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '\\[cv] [^\\]*') AS ms FROM documents WHERE fmt = 'usfm')), c AS (SELECT *, coalesce(last_value(try_cast(nullif(regexp_extract(v, '^\\c (\d+)', 1), '') AS BIGINT) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS chapter_num FROM m), t AS (SELECT doc_id, book_id, chapter_num, k, regexp_extract(v, '^\\v (\S+)', 1) AS verse_str, trim(regexp_replace(regexp_replace(v, '^\\v \S+', ''), '{_SPACE}+', ' ', 'g')) AS script_text FROM c WHERE v LIKE '\v %') SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, book_id, chapter_num, verse_str, script_text FROM t WHERE script_text <> '' UNION ALL SELECT doc_id, 0, '', 1, '0', x FROM (SELECT doc_id, trim(regexp_replace(text, '{_SPACE}+', ' ', 'g')) AS x FROM documents WHERE fmt = 'usfm' AND NOT contains(text, chr(92))) WHERE x <> ''",
     "asr_lines": r"SELECT doc_id, pos, begin_ts, coalesce(lead(begin_ts) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS end_ts, CASE WHEN begin_ts IS NULL THEN line ELSE regexp_extract(line, '^\[([0-9]+\.[0-9]+)\] ?(.*)$', 2) END AS script_text FROM (SELECT doc_id, pos - 1 AS pos, line, try_cast(nullif(regexp_extract(line, '^\[([0-9]+\.[0-9]+)\] ?(.*)$', 1), '') AS DOUBLE) AS begin_ts FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE fmt = 'asr' AND text <> '')) WHERE line <> '')",
-    "wide_vectors": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 5) AS v{i}" for i in range(4)) + " FROM embeddings",
-    "matrix_export": sql("SELECT word_id, k - 1 AS line, CASE WHEN k = 1 THEN n_rows END AS n_rows, CASE WHEN k = 1 THEN n_cols END AS n_cols, len(r) AS width FROM (SELECT word_id, n_rows, n_cols, unnest(mfcc) AS r, generate_subscripts(mfcc, 1) AS k FROM m)"),
     "vector_columns": "SELECT e.vec_id, p.* EXCLUDE (vec_id) FROM embeddings e LEFT JOIN (PIVOT (SELECT vec_id, 'v' || (i - 1) AS name, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) ON name USING any_value(x) GROUP BY vec_id) p USING (vec_id)",
     "matrix_columns": sql("SELECT r.word_id, r.line, CASE WHEN r.line = 0 THEN n_rows END AS n_rows, CASE WHEN r.line = 0 THEN n_cols END AS n_cols, p.* EXCLUDE (word_id, line) FROM r LEFT JOIN (PIVOT (SELECT word_id, line, 'mfcc' || (i - 1) AS name, x::DOUBLE AS x FROM (SELECT word_id, line, unnest(cells) AS x, generate_subscripts(cells, 1) AS i FROM r)) ON name USING any_value(x) GROUP BY word_id, line) p USING (word_id, line)", "r AS (SELECT word_id, n_rows, n_cols, unnest(mfcc) AS cells, generate_subscripts(mfcc, 1) - 1 AS line FROM m)"),
-    "chapter_file_map": sql("SELECT dataset_id, count(DISTINCT (book_id, chapter_num)) AS n_chapters FROM s WHERE audio_file <> '' GROUP BY dataset_id"),
-    "messages": "SELECT source AS \"group\", count(*) AS n, count(DISTINCT coalesce(text, '')) AS n_distinct FROM documents GROUP BY source",
+    "chapter_file_map": sql("SELECT dataset_id, '{' || string_agg('\"' || k || '\":\"' || f || '\"', ',' ORDER BY k) || '}' AS files FROM (SELECT dataset_id, book_id || chapter_num AS k, max(audio_file) AS f FROM s WHERE audio_file <> '' GROUP BY dataset_id, book_id, chapter_num) GROUP BY dataset_id"),
+    "messages": "SELECT source AS \"group\", sha256('{' || coalesce('\"source\":\"' || source || '\",', '') || '\"text_key\":\"' || sha256(coalesce(text, '')) || '\"}') AS message_id, count(*) AS n FROM documents GROUP BY ALL",
     "stream_hours": "SELECT strftime(h, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY h, event_type",
     "request_plan": "SELECT dataset_id, CASE WHEN bible_id <> '' THEN lower(substr(bible_id, 1, 3)) END AS language_iso, CASE WHEN bible_id <> '' THEN 'OK' ELSE 'bible_id or language_iso: required' END AS status FROM ident",
 }
