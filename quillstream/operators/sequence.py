@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillstream.runtime import Workspace
 
 
 def unit_gaps(units: DataFrame, keys: Sequence[str], order: str, begin: str, end: str, word: str, line: str, total: str) -> DataFrame:
@@ -95,36 +101,112 @@ def with_headings(rows: DataFrame, book_keys: Sequence[str], chapter: str, order
     return out.withColumn("line_no", F.row_number().over(W.partitionBy(*book_keys).orderBy(order, "rank"))).drop("rank")
 
 
-def greedy_batches(samples: DataFrame, keys: Sequence[str], size: str, order: Sequence[str], max_batch: int, target: int) -> DataFrame:
+#: Samples of a shard of :func:`greedy_batches`.
+BATCH_SHARD = 1 << 16
+
+
+def _successors(new: np.ndarray, size: np.ndarray, own: int, max_batch: int, target: int) -> np.ndarray:
+    """Where the batch ends that begins at each of a shard's own rows; ``new`` marks the first rows of keys, rows after the own ones look ahead."""
+    succ = np.full(own, len(size), np.int64)
+    live = np.arange(own)
+    for j in range(1, max_batch + 1):
+        live = live[live + j < len(size)]
+        at = live + j
+        stop = new[at] | (size[at] * (j + 1) >= target) if j < max_batch else np.ones(len(at), bool)
+        succ[live[stop]] = at[stop]
+        live = live[~stop]
+    return succ
+
+
+def _shard_rows(t: pa.Table, keys: Sequence[str], size: str):
+    """A shard's rows in order: the table, which begin a key, sizes, and the number of own rows."""
+    t = t.take(pc.sort_indices(t, [("__n", "ascending")])).combine_chunks()
+    own = int(pc.sum(t.column("__own")).as_py() or 0)
+    new = np.zeros(t.num_rows, bool)
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        x, y = c.slice(0, len(c) - 1), c.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(pc.is_null(x), pc.is_null(y)))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    if t.num_rows:
+        new[0] = t.column("__first")[0].as_py()
+    return t, new, t.column(size).to_numpy().astype(np.int64), own
+
+
+def greedy_batches(samples: DataFrame, keys: Sequence[str], size: str, order: Sequence[str], max_batch: int, target: int, shard: int = BATCH_SHARD) -> DataFrame:
     """``batch``: number of the batch of each sample, taken by size (WIN-17).
 
     A batch is closed before a sample that would be number max_batch + 1 or
-    bring (size x count) to the target. Each step depends on the one before:
-    one pass over a key's sorted samples, streamed in Arrow batches, so that
-    memory holds one batch however many samples a key has.
+    bring (size x count) to the target; an unknown size counts as 0.
+
+    Each step depends on the one before, but a batch begun in one shard of the
+    sorted samples ends within max_batch rows of the next. So a shard gives, for
+    each of its first max_batch rows, where the chain of batches that enters
+    there leaves it and after how many batches; one pass over those small
+    tables tells where each shard is entered really, and the shards are then
+    numbered at once. No task holds more than a shard, whatever the keys.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
+    from quillstream.operators.mutations import number_rows
 
     keys = list(keys)
-    src = samples.select(*keys, *[c for c in order if c not in keys and c != size], F.col(size).cast("long").alias(size))
+    space = Workspace(samples.sparkSession, "batches")
+    src = samples.select(*keys, *[c for c in order if c not in keys and c != size], F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    numbered = number_rows(src, "__n", [*keys, size, *order])
+    at = F.expr(f"(__n - 1) div {shard}")
+    place = F.col("__n") - 1 - at * shard
+    # Rows at the head of a shard are looked at from the shard before, too.
+    both = F.when((place < max_batch) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    rows = numbered.withColumn("__home", at).withColumn("__s", F.explode(both)).withColumn("__own", F.col("__home") == F.col("__s")).drop("__home")
+    # Whether a shard's first row begins a key is known from the last row of the shard before.
+    edges = numbered.filter((place == 0) | (place == shard - 1)).select((F.expr(f"__n div {shard}")).alias("__s"), (place == 0).alias("__head"), F.struct(*keys).alias("k"))
+    heads = edges.groupBy("__s").agg(F.max(F.when(F.col("__head"), F.col("k"))).alias("own"), F.max(F.when(~F.col("__head"), F.col("k"))).alias("last"))
+    heads = heads.select("__s", F.coalesce(F.col("own") != F.col("last"), F.lit(True)).alias("__first"))
+    rows = space.put(rows.join(heads, "__s"))
+
+    def ways(t: pa.Table) -> pa.Table:
+        t, new, sizes, own = _shard_rows(t, keys, size)
+        succ = _successors(new, sizes, own, max_batch, target)
+        entry = np.arange(min(max_batch, own) + 1)
+        now, count, reset = entry.copy(), np.zeros(len(entry), np.int64), np.zeros(len(entry), bool)
+        while (inside := np.flatnonzero(now < own)).size:
+            begins = new[now[inside]]
+            count[inside] = np.where(begins, 1, count[inside] + 1)
+            reset[inside] |= begins
+            now[inside] = succ[now[inside]]
+        return pa.table({"__s": pa.array([t.column("__s")[0].as_py()] * len(entry), pa.int64()), "entry": entry, "leaves": now - own, "n": count, "reset": reset})
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, before, found = 0, 0, []
+        for b in batches:
+            for s, e, leaves, n, reset in zip(*(b.column(c).to_pylist() for c in ("__s", "entry", "leaves", "n", "reset"))):
+                if e == entry and (not found or found[-1][0] != s):
+                    found.append((s, entry, before))
+                    before = n if reset else before + n
+                    entry = leaves
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["__s", "entry", "before"])
+
+    names = src.columns
     schema = T.StructType([*src.schema.fields, T.StructField("batch", T.LongType())])
 
-    def work(batches):
-        last, batch, n = object(), 0, 0
-        for b in batches:
-            own = list(zip(*[b.column(k).to_pylist() for k in keys])) if keys else [()] * b.num_rows
-            out = []
-            for key, s in zip(own, b.column(size).to_pylist()):
-                if key != last:
-                    last, batch, n = key, 1, 0
-                if n and (n >= max_batch or s * (n + 1) >= target):
-                    batch, n = batch + 1, 0
-                n += 1
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch"])
-
-    return src.repartition(*keys).sortWithinPartitions(*keys, size, *order).mapInArrow(work, schema)
+    def assign(t: pa.Table) -> pa.Table:
+        t, new, sizes, own = _shard_rows(t, keys, size)
+        succ = _successors(new, sizes, own, max_batch, target)
+        starts = np.zeros(own, bool)
+        i = t.column("entry")[0].as_py()
+        while i < own:
+            starts[i] = True
+            i = int(succ[i])
+        # Batches since the shard's begin, less those before the last begin of a key.
+        n = np.cumsum(starts)
+        head = new[:own] & starts
+        base = np.maximum.accumulate(np.where(head, n - 1, -1)) if own else n
+        batch = np.where(base >= 0, n - base, n + t.column("before")[0].as_py())
+        out = t.slice(0, own).select(names)
+        return out.append_column("batch", pa.array(batch.astype(np.int64)))
+
+    way = space.put(rows.groupBy("__s").applyInArrow(ways, "__s long, entry long, leaves long, n long, reset boolean"))
+    entered = way.repartition(1).sortWithinPartitions("__s", "entry").mapInArrow(entries, "__s long, entry long, before long")
+    return rows.join(space.put(entered), "__s").groupBy("__s").applyInArrow(assign, schema)
 
 
 def frame_slice(matrix: Column, begin: Column, end: Column, rate: float) -> Column:

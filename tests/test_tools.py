@@ -137,3 +137,24 @@ def test_manifest_without_counterpart(spark):
 @pytest.mark.parametrize("text,want", [("", []), ("no marks", [("", 1, "0", "no marks")]), ("\\v 1 x", [("", 1, "1", "x")])])
 def test_usfm_without_a_book(text, want):
     assert [r[:3] + r[5:] for r in R.usfm_rows(text)] == want
+
+
+@pytest.mark.parametrize("shard", [7, 16, 1 << 16])
+def test_greedy_batches(spark, shard):
+    """Batches one after the other, with keys and batches that reach over shards, one key with most rows, NULL keys and sizes."""
+    import random
+
+    rnd = random.Random(shard)
+    rows = [("hot", rnd.choice([0, 3, 9, 40]), i) for i in range(150)] + [(k, rnd.randrange(60) if i % 9 else None, i) for k in (None, "b", "c", "d") for i in range(rnd.randrange(1, 22))]
+    df = spark.createDataFrame(rows, "k string, ms long, id long")
+    got = {(r.k, r.id): r.batch for r in Q.greedy_batches(df, ["k"], "ms", ["id"], 5, 120, shard).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        batch, n = 1, 0
+        for s, i in sorted((s or 0, i) for key, s, i in rows if key == k):
+            if n and (n >= 5 or s * (n + 1) >= 120):
+                batch, n = batch + 1, 0
+            n += 1
+            want[k, i] = batch
+    assert got == want
+    assert Q.greedy_batches(df.limit(0), ["k"], "ms", ["id"], 5, 120).count() == 0
