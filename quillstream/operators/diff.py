@@ -198,3 +198,18 @@ def suppress_systematic(pairs: DataFrame, key: str, d: str, words: DataFrame, th
     kept = F.filter(numbered, lambda x: ~((x["op"] == 1) & hit(x)))
     kept = F.transform(kept, lambda x: F.struct(F.when((x["op"] == -1) & hit(x), 0).otherwise(x["op"]).alias("op"), x["text"].alias("text")))
     return out.withColumn("kept", kept).drop("gone")
+
+
+def word_patterns(pairs: DataFrame, key: str, d: str) -> DataFrame:
+    """Patterns of the words that differ: key, word_no, pattern such as ``=c-a+u=t`` (AGG-21).
+
+    A word ends at a blank that both texts have; words without a difference
+    aren't given. Blanks that were only inserted or deleted are part of a word.
+    """
+    ops = pairs.select(key, F.posexplode(d).alias("pos", "x")).select(key, "pos", "x.op", F.posexplode(F.split("x.text", "")).alias("at", "c")).filter("c <> ''")
+    w = W.partitionBy(key).orderBy("pos", "at").rowsBetween(W.unboundedPreceding, 0)
+    blank = (F.col("op") == 0) & F.col("c").rlike(r"^\s$")
+    ops = ops.withColumn("blank", blank).withColumn("word_no", F.sum(blank.cast("int")).over(w)).filter(~F.col("blank"))
+    sign = F.when(F.col("op") == 0, "=").when(F.col("op") == 1, "+").otherwise("-")
+    got = ops.groupBy(key, "word_no").agg(F.max((F.col("op") != 0).cast("int")).alias("differs"), F.array_sort(F.collect_list(F.struct("pos", "at", F.concat(sign, "c").alias("p")))).alias("ps"))
+    return got.filter("differs = 1").select(key, F.col("word_no").cast("long").alias("word_no"), F.array_join(F.transform("ps", lambda r: r["p"]), "").alias("pattern"))

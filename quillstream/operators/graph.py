@@ -74,3 +74,22 @@ def chosen_code(choices: DataFrame, tree: DataFrame, node: str, parent: str, too
     code = F.coalesce(given, F.col("nearest"))
     how = F.when(given.isNotNull(), "override").when(F.col("distance") == 0, "same").when(F.col("nearest").isNotNull(), "nearest").otherwise("none")
     return out.select(*[choices[c] for c in choices.columns], code.alias("code"), how.alias("found_by"), F.when(code.isNull(), 400).otherwise(200).alias("status"))
+
+
+def main(argv: Sequence[str] | None = None) -> int:
+    """``python -m quillstream.operators.graph TREE.parquet TOOL CODE...``: the nearest code the tool knows, a line each (GRF-08)."""
+    import sys
+
+    from pyspark.sql import SparkSession
+
+    path, tool, *codes = list(sys.argv[1:] if argv is None else argv)
+    spark = SparkSession.builder.getOrCreate()
+    asked = spark.createDataFrame([(c, "") for c in codes], "language_iso string, override string")
+    rows = chosen_code(asked, spark.read.parquet(path), "id", "parent_id", tool).collect()
+    for r in sorted(rows, key=lambda r: codes.index(r.language_iso)):
+        print(r.language_iso, r.code or "-", r.found_by)
+    return 0 if all(r.status == 200 for r in rows) else 4
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -79,7 +79,8 @@ def next_begin(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin
 def unique_suffix(rows: DataFrame, keys: Sequence[str], name: str, order: Sequence[str]) -> DataFrame:
     """``unique_name``: the name, with a, b ... z for repeats; NULL beyond (WIN-13, WIN-14).
 
-    Repeats are numbered per key and name. A name that was suffixed before and
+    Repeats are numbered per key and name. A strict caller refuses rows without
+    a name, see :func:`refused_names`. A name that was suffixed before and
     collides with a new one is counted again by :func:`quillstream.model.duplicate_keys`.
     """
     n = F.row_number().over(W.partitionBy(*keys, name).orderBy(*order))
@@ -87,6 +88,11 @@ def unique_suffix(rows: DataFrame, keys: Sequence[str], name: str, order: Sequen
     return rows.withColumn("unique_name", F.concat(F.col(name), suffix))
 
 
+def refused_names(named: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Keys and names with more repeats than letters, which a strict insert refuses (WIN-13): keys, name, n_refused."""
+    return named.filter(F.col("unique_name").isNull() & F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n_refused"))
+
+
 def with_headings(rows: DataFrame, book_keys: Sequence[str], chapter: str, order: str) -> DataFrame:
     """A title row before each book's first row and a heading before each new chapter but 1, renumbered (WIN-10..12, SRC-13).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from quillstream.operators import graph as G
 from quillstream.operators import mutations as M
 from quillstream.operators import sequence as Q
 from quillstream.operators.embed import word_vectors
+from quillstream.operators.program import answered_batches, answered_lines
 from quillstream.operators.splice import clean_diffs, spliced
 from quillstream.plans import pipeline as P
 from quillstream.plans import request as R
@@ -29,6 +32,19 @@ def _long(*names: str) -> list[Column]:
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+def program_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every romanised line asked of a running program, and in batches, both of which answer in capitals (UDF-01..03, STR-24)."""
+    t = lines(spark, sf_dir, "uroman").filter("regexp_like(uroman, '^[a-z ]+$')")
+    command = [sys.executable, "-uc", "import sys\nfor x in sys.stdin: print(x.rstrip(chr(10)).upper(), flush=True)"]
+    return answered_batches(answered_lines(t, "uroman", command), "uroman", command, "in_batch").select("script_id", "answer", "in_batch")
+
+
+def refused_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verse names that occur more often in a book of a version than letters can tell apart (WIN-13)."""
+    t = lines(spark, sf_dir, "dataset_id", "verse_str")
+    return Q.refused_names(Q.unique_suffix(t, ["dataset_id"], "verse_str", ["script_id"]), ["dataset_id"], "verse_str")
+
+
 def line_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text column by key (PRJ-06)."""
     return lines(spark, sf_dir, "uroman").select("script_id", "uroman")
@@ -322,7 +338,7 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        line_text, line_keys, alignment_columns, chapter_times, all_tokens, reference_verses, chapter_runs, pair_cleanup, marker_errors, spoken_words, yaml_scalars, letters_joined, space_only, log_durations,
+        program_answers, refused_names, line_text, line_keys, alignment_columns, chapter_times, all_tokens, reference_verses, chapter_runs, pair_cleanup, marker_errors, spoken_words, yaml_scalars, letters_joined, space_only, log_durations,
         run_budgets, expired_rows, sample_sizes, unfit_vectors, matrix_texts, stored_matrices, padded_batches, silence_splices, frame_runs, token_spans, guided_tokens, inserted_lines, erased_lines, cloned_rows,
         language_choices, book_names, embedded_words, request_checks, queue_results, run_lines,
     )
@@ -335,6 +351,8 @@ _LETTERS = "k AS (SELECT word_id, ascii(uroman) - 96 AS t, row_number() OVER (PA
 _OK = "script_end_ts > script_begin_ts AND NOT isnan(script_end_ts)"
 _SPACE = r"[ \t\n\r\x{000B}\x{000C}]"
 ORACLE = {
+    "program_answers": sql("SELECT script_id, upper(uroman) AS answer, upper(uroman) AS in_batch FROM s WHERE regexp_full_match(uroman, '[a-z ]+')"),
+    "refused_names": sql("SELECT dataset_id, verse_str, count(*) - 27 AS n_refused FROM s WHERE verse_str IS NOT NULL GROUP BY ALL HAVING count(*) > 27"),
     "line_text": sql("SELECT script_id, uroman FROM s"),
     "line_keys": sql("SELECT script_id, dataset_id, book_id, chapter_num, verse_str FROM s"),
     "alignment_columns": sql("SELECT script_id, book_id, chapter_num, verse_str, audio_file, script_text FROM s WHERE audio_file <> ''"),

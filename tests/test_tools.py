@@ -158,3 +158,40 @@ def test_greedy_batches(spark, shard):
             want[k, i] = batch
     assert got == want
     assert Q.greedy_batches(df.limit(0), ["k"], "ms", ["id"], 5, 120).count() == 0
+
+
+def test_programs(spark):
+    import sys
+
+    from quillstream.operators.program import answered_batches, answered_lines
+
+    df = spark.createDataFrame([(1, "a\nb"), (2, None), (3, "")], "id int, t string").coalesce(1)
+    echo = [sys.executable, "-uc", "import sys\nfor x in sys.stdin: print('<' + x.rstrip() + '>', flush=True)"]
+    for how in (answered_lines, answered_batches):
+        assert [(r.id, r.answer) for r in how(df, "t", echo).orderBy("id").collect()] == [(1, "<a b>"), (2, None), (3, "<>")]
+        assert how(df.limit(0), "t", echo).count() == 0
+        with pytest.raises(Exception, match="no model here"):
+            how(df, "t", [sys.executable, "-c", "import sys; sys.stderr.write('no model here'); sys.exit(3)"]).collect()
+
+
+def test_word_patterns(spark):
+    from quillstream.operators import diff as D
+
+    df = spark.createDataFrame([(1, "the cat sat", "the cut  sat"), (2, "same", "same"), (3, None, "x")], "id int, a string, b string").withColumn("d", D.diffs(F.col("a"), F.col("b")))
+    got = {(r.id, r.pattern) for r in D.word_patterns(df, "id", "d").collect()}
+    assert len(got) == 1 and got.pop()[1].startswith("=c-a+u=t")
+
+
+def test_refused_names(spark):
+    df = spark.createDataFrame([(1, "v", i) for i in range(30)] + [(2, "v", i) for i in range(27)], "k int, n string, i int")
+    named = Q.unique_suffix(df, ["k"], "n", ["i"])
+    assert [tuple(r) for r in Q.refused_names(named, ["k"], "n").collect()] == [(1, "v", 3)]
+    assert named.filter("k = 2 and i = 26").first().unique_name == "vz"
+
+
+def test_language_search(spark, tmp_path, capsys):
+    from quillstream.operators.graph import main
+
+    spark.createDataFrame([("1", None, "", "", ""), ("2", "1", "aaa", "aa", ""), ("3", "1", "bbb", "", "B")], "id string, parent_id string, iso639_3 string, iso639_1 string, whisper string").write.parquet(f"{tmp_path}/t")
+    assert main([f"{tmp_path}/t", "whisper", "bbb", "aa", "zz"]) == 4
+    assert capsys.readouterr().out.split("\n")[:3] == ["bbb B same", "aa B nearest", "zz - none"]
