@@ -5,7 +5,7 @@ values with cumulative counts, many runs a source, so a source with a third of
 all rows is spread like any other). In each round every task reports, per
 source and per interval between the pivots, how many candidate scores lie in it
 and at its ends, and the weighted medians of its runs' medians - their median,
-the medians of either half, and so on down to eighths. The weighted medians of
+the medians of either half, and so on down to sixteenths. The weighted medians of
 the tasks' medians become the next pivots, and the counts discard all intervals
 but the one that holds the target rank. A source ends when its target rank falls
 on a pivot.
@@ -26,11 +26,12 @@ from quillstream.runtime import Workspace
 
 #: Scores of one task that are sorted together, and values of one written run.
 SORT_ROWS, RUN_VALUES = 1 << 17, 1 << 12
-#: Pivots a round and source: the median, and the medians of halves and quarters.
-PIVOTS = 7
+#: Pivots a round and source: the median, and the medians of halves, quarters and eighths.
+PIVOTS = 15
 #: The runs are written anew, without discarded scores, when the candidates
-#: have shrunk by this factor since they were written last.
-SHRINK = 4
+#: have shrunk by this factor since they were written last, if so many were
+#: left then that reading them again costs more than a job.
+SHRINK, MANY = 4, 1 << 20
 
 _RUNS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("vals", T.ArrayType(T.DoubleType())), T.StructField("cum", T.ArrayType(T.LongType()))])
 #: Of each source: scores between the pivots, at the pivots, and PIVOTS medians of each interval.
@@ -42,7 +43,7 @@ _STATE = T.StructType([
 
 
 def _medians(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The lower weighted median of x, and those of the halves and quarters on either side: PIVOTS values."""
+    """The lower weighted median of x, and those of the halves, quarters and eighths on either side: PIVOTS values."""
     order = np.argsort(x, kind="stable")
     c = np.cumsum(w[order])
     return x[order][np.searchsorted(c, c[-1] * np.arange(1, PIVOTS + 1) / (PIVOTS + 1))]
@@ -214,7 +215,7 @@ def _round(runs: DataFrame, state: DataFrame) -> DataFrame:
     return seen.repartition("sid").join(state, "sid").select("sid", "n", "eq", "med", "lo", "hi", "pivots", "k", "above", "permille").sortWithinPartitions("sid").mapInArrow(_decide, _STATE)
 
 
-def fraction_cutoffs(scores: DataFrame, shares: DataFrame, keys: Sequence[str], score: str = "score", permille: str = "permille", sort_rows: int = SORT_ROWS, run_values: int = RUN_VALUES) -> DataFrame:
+def fraction_cutoffs(scores: DataFrame, shares: DataFrame, keys: Sequence[str], score: str = "score", permille: str = "permille", sort_rows: int = SORT_ROWS, run_values: int = RUN_VALUES, many: int = MANY) -> DataFrame:
     """Per source, the cutoff that keeps its share: keys, n_counted, cutoff, n_kept.
 
     ``scores`` has the source's ``keys`` and a ``score``; a record counts if its
@@ -254,7 +255,7 @@ def fraction_cutoffs(scores: DataFrame, shares: DataFrame, keys: Sequence[str],
         state = now.filter(F.col("cutoff").isNull()).select("sid", "lo", "hi", "pivots", "k", "above", F.lit(None).cast("long").alias("permille"))
         if stored is None:
             stored = left
-        elif left * SHRINK <= stored:
+        elif stored > many and left * SHRINK <= stored:
             fewer = space.put(runs.join(state, "sid").select("sid", "vals", "cum", "lo", "hi").mapInArrow(_cut, _RUNS))
             space.drop(runs)
             runs, stored = fewer, left

@@ -45,7 +45,7 @@ def test_against_brute_force(spark, sort_rows, run_values):
     rows += [(None, None, 0.25), (None, None, 0.75), ("none", 7, 0.5), ("null", 8, 0.5), ("zero", 9, 0.0)]
     shares |= {("hot", 1): 430, (None, None): 500, ("null", 8): None, ("zero", 9): 500, ("absent", 1): 500}
     try:
-        assert run(spark, rows, shares, sort_rows=sort_rows, run_values=run_values) == brute(rows, shares)
+        assert run(spark, rows, shares, sort_rows=sort_rows, run_values=run_values, many=sort_rows) == brute(rows, shares)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
@@ -57,7 +57,8 @@ def test_report_of_a_run():
     assert (med[0] == 0.2).all() and (med[2] == 0.8).all() and (med[3] == 0.9).all()
     assert C._report(v, c, 0.9, float("nan"), np.zeros(0)) is None
     whole = C._report(v, c, float("nan"), float("nan"), np.zeros(0))
-    assert whole[0].tolist() == [12] and whole[2][0].tolist() == [0.1, 0.2, 0.4, 0.4, 0.4, 0.8, 0.9]
+    each = np.repeat(v, [2, 1, 5, 1, 3])
+    assert whole[0].tolist() == [12] and whole[2][0].tolist() == [each[-(-12 * k // (C.PIVOTS + 1)) - 1] for k in range(1, C.PIVOTS + 1)]
 
 
 def test_empty(spark):
