@@ -264,6 +264,14 @@ def batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_batches(spark, sf_dir).groupBy("dataset_id", "batch").agg(F.count(F.lit(1)).alias("n"), (F.max("ms") * F.count(F.lit(1))).alias("padded_ms"), F.sum("ms").alias("total_ms"))
 
 
+def word_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word samples over their dataset's cutoff in batches by duration, for the model of words (UDF-20, PRJ-24)."""
+    w = tokens(spark, sf_dir, "dataset_id", "ttype", "fa_score", "word_begin_ts", "word_end_ts").filter((F.col("ttype") == "W") & F.col("fa_score").isNotNull() & ~F.isnan("fa_score"))
+    cut = S.quantiles(w, ["dataset_id"], "fa_score", [0.1]).select("dataset_id", F.col("value").alias("cutoff"))
+    t = w.join(cut, "dataset_id").filter(F.col("fa_score") > F.col("cutoff")).withColumn("ms", to_ms(F.col("word_end_ts")) - to_ms(F.col("word_begin_ts"))).filter("ms > 0")
+    return Q.greedy_batches(t, ["dataset_id"], "ms", ["word_id"], 32, 8_000).select("dataset_id", "word_id", "ms", "batch")
+
+
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in the order of books, chapters and verses (SRT-03, SET-01, SET-02)."""
     b = small_side(table(spark, sf_dir, "books").select("book_id", "seq", "testament"))
@@ -301,7 +309,7 @@ QUERIES = {
     for f in (
         romanised_share, score_classes, score_stats, score_quantiles, score_histogram, feature_frames, padded_features, verse_assembly, word_islands, latin_datasets, line_scores,
         vocabulary_letters, lexicon, letter_histogram, tool_coverage, marker_groups, code_positions, char_gaps, gap_outliers, long_silences, word_gaps, widest_gaps, midpoints, next_begins,
-        feature_slices, headed_lines, unique_verses, duplicate_lines, greedy_batches, batch_sizes, canonical_order, chapter_sequence, invalid_vectors, cutoff_samples,
+        feature_slices, headed_lines, unique_verses, duplicate_lines, greedy_batches, batch_sizes, word_batches, canonical_order, chapter_sequence, invalid_vectors, cutoff_samples,
     )
 }
 
@@ -311,6 +319,12 @@ _BATCHES = f"""r AS (SELECT dataset_id, script_id, ms, row_number() OVER (PARTIT
 b AS (SELECT dataset_id, script_id, ms, i, 1::BIGINT AS batch, 1::BIGINT AS n FROM r WHERE i = 1
   UNION ALL
   SELECT r.dataset_id, r.script_id, r.ms, r.i, CASE WHEN b.n >= 8 OR r.ms * (b.n + 1) >= 60000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 8 OR r.ms * (b.n + 1) >= 60000 THEN 1 ELSE b.n + 1 END FROM b JOIN r ON r.dataset_id = b.dataset_id AND r.i = b.i + 1)"""
+_WORD_BATCHES = f"""d AS (SELECT dataset_id, word_id, word_begin_ts, word_end_ts, fa_score, row_number() OVER (PARTITION BY dataset_id ORDER BY fa_score) AS upto, count(*) OVER (PARTITION BY dataset_id) AS total FROM w WHERE ttype = 'W' AND fa_score IS NOT NULL AND NOT isnan(fa_score)),
+k AS (SELECT dataset_id, min(fa_score) AS cutoff FROM d WHERE upto >= ceil(0.1::DOUBLE * total) GROUP BY dataset_id),
+r AS (SELECT dataset_id, word_id, ms, row_number() OVER (PARTITION BY dataset_id ORDER BY ms, word_id) AS i FROM (SELECT dataset_id, word_id, {_MS.format('word_end_ts')} - {_MS.format('word_begin_ts')} AS ms FROM d JOIN k USING (dataset_id) WHERE fa_score > cutoff AND {_OK.format('word_end_ts')} AND {_OK.format('word_begin_ts')}) WHERE ms > 0),
+b AS (SELECT dataset_id, word_id, ms, i, 1::BIGINT AS batch, 1::BIGINT AS n FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.dataset_id, r.word_id, r.ms, r.i, CASE WHEN b.n >= 32 OR r.ms * (b.n + 1) >= 8000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 32 OR r.ms * (b.n + 1) >= 8000 THEN 1 ELSE b.n + 1 END FROM b JOIN r ON r.dataset_id = b.dataset_id AND r.i = b.i + 1)"""
 _QL = "(" + ", ".join(f"({float(p)}::DOUBLE)" for p in S.QUANTILES) + ")"
 _GAPS = f"""u AS (SELECT char_id, word_id, script_id, s.dataset_id, audio_file, start_ts, end_ts FROM c JOIN w USING (word_id) JOIN s USING (script_id) WHERE ttype = 'W' AND audio_file <> ''),
 t AS (SELECT dataset_id, audio_file, max(script_end_ts) AS total FROM s WHERE {_OK.format('script_end_ts')} GROUP BY ALL),
@@ -352,6 +366,7 @@ ORACLE = {
     ),
     "unique_verses": sql("SELECT script_id, name, CASE WHEN n = 1 THEN name WHEN n <= 27 THEN name || chr((95 + n)::INT) END AS unique_name FROM (SELECT script_id, name, row_number() OVER (PARTITION BY dataset_id, book_id, chapter_num, name ORDER BY script_id) AS n FROM (SELECT *, floor((verse_num + 2) / 3)::BIGINT::VARCHAR AS name FROM s))"),
     "duplicate_lines": "SELECT dataset_id, book_id, chapter_num, verse_str, count(*) AS n_rows FROM scripts GROUP BY ALL HAVING count(*) > 1",
+    "word_batches": sql("SELECT dataset_id, word_id, ms, batch FROM b", _WORD_BATCHES).replace("WITH", "WITH RECURSIVE", 1),
     "greedy_batches": sql("SELECT dataset_id, script_id, ms, batch FROM b", _BATCHES).replace("WITH", "WITH RECURSIVE", 1),
     "batch_sizes": sql("SELECT dataset_id, batch, count(*) AS n, max(ms) * count(*) AS padded_ms, sum(ms)::BIGINT AS total_ms FROM b GROUP BY dataset_id, batch", _BATCHES).replace("WITH", "WITH RECURSIVE", 1),
     "canonical_order": sql("SELECT script_id, dataset_id, coalesce(testament, 'AP') AS testament, row_number() OVER (PARTITION BY dataset_id ORDER BY seq NULLS FIRST, chapter_num NULLS FIRST, verse_num NULLS FIRST, script_id) AS place FROM s LEFT JOIN books USING (book_id)"),
