@@ -31,7 +31,7 @@ READERS = {".csv": readers.read_csv_lines, ".usfm": readers.read_usfm, ".sfm": r
 
 @dataclass
 class Plugins:
-    """External programs, each a function of lines or words that returns them with what it found; None leaves the step out (UDF-01..21).
+    """External programs, each a function of lines or words that returns them with what it found; None leaves the step out (places for UDF-04 to UDF-18, which need models).
 
     ``align``: words to words with times and scores; ``transcribe``: lines to
     lines with recognised text; ``encode``: words to (word_id, matrix).
